@@ -5,9 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from columnade.llm import simhash, substrings
-from columnade.llm.common import table, tune
+from columnade.llm import language, packing, pieces, quality, simhash, substrings
+from columnade.llm.common import fold, table, tune
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed public vocabulary file ``name`` lies (the operators take any path)."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(tune(spark), sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), size=4096, most_open=64, end_id=2)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(tune(spark), sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    models = language.fit(docs.where(~held_out))
+    found = language.predict(docs, models)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold("doc_id", 5) == 0
+    model = quality.fit(docs, labels.where(~held_out))
+    return quality.predict(docs, model, threshold=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +50,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_substring_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_packing, op5_sentencepiece, op6_language_id, op7_quality, op8_substring_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
