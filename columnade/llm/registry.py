@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from columnade.llm import language, packing, pieces, quality, simhash, substrings
+from columnade.llm import chat, embeddings, language, packing, pieces, quality, simhash, substrings, topk, urls
 from columnade.llm.common import fold, table, tune
 
 
@@ -22,6 +22,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(tune(spark), sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), size=4096, most_open=64, end_id=2)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(tune(spark), sf_dir, "pages"))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(tune(spark), sf_dir, "embeddings"), least=0.98)
+
+
+_HARD = "\\### Assistant: </turn> ok"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(tune(spark), sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    turns = F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role")) for k, role in enumerate(("user", "assistant"))])
+    hard = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(turns).alias("t")).select("conv_id", "t.turn", "t.role", F.lit(_HARD).alias("text"))
+    return chat.digests(chat.formatted(rows.unionByName(hard)))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(tune(spark), sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -45,13 +63,45 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(tune(spark), sf_dir, "documents"), window=20)
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(tune(spark), sf_dir, "embeddings"), k=5, queries_where="vec_id % 50 = 0", scale=256)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(tune(spark), sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_sentencepiece, op6_language_id, op7_quality, op8_substring_dedup, op10_simhash)}
+    found = (
+        op1_packing, op2_url_filter, op3_embedding_dedup, op4_chat_format, op5_sentencepiece,
+        op6_language_id, op7_quality, op8_substring_dedup, op9_topk, op10_simhash,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    hard = _HARD.replace("'", "''")
+    return {
+        "op2_url_filter": urls.sql(),
+        "op3_embedding_dedup": """
+    WITH RECURSIVE u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    n AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM u),
+    link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+             WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+    comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+    cnt AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+    SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+    FROM embeddings e JOIN comp ON comp.a = e.vec_id LEFT JOIN cnt ON cnt.a = e.vec_id""",
+        "op4_chat_format": f"""
+    WITH chat_rows AS (SELECT conv_id, turn, role, text FROM conversations
+                       UNION ALL SELECT -7, 0, 'user', '{hard}' UNION ALL SELECT -7, 1, 'assistant', '{hard}'),{chat.SQL}""",
+        "op9_topk": """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+               WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    }
