@@ -77,7 +77,7 @@ def discard(df: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` under the batch bounds of :func:`tune`."""
     tune(df.sparkSession)
     return df.mapInArrow(fn, schema)

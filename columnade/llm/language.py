@@ -265,3 +265,18 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(rows, run, "doc_id long, lang_pred string, score double, rejected boolean, cross_entropy double")
+
+
+def keep_known(docs: DataFrame, models: Models) -> DataFrame:
+    """The rows of ``docs`` (all columns) that are not rejected."""
+    held = docs.sparkSession.sparkContext.broadcast(models)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                yield part.filter(pa.array(~scorer.decide(part.column(at).to_pylist())[2]))
+
+    return map_batches(docs, run, docs.schema)

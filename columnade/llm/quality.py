@@ -161,3 +161,18 @@ def predict(docs: DataFrame, model: Neighbours, threshold: float = 0.3) -> DataF
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(rows, run, "doc_id long, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: Neighbours, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose text scores ``threshold`` or more."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, m = Terms(), held.value
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                yield part.filter(pa.array(m.score(m.project(terms.counts(part.column(at).to_pylist()))) >= threshold))
+
+    return map_batches(docs, run, docs.schema)
