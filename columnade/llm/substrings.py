@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from columnade.llm.common import batch, map_batches
+from columnade.llm.common import batch, map_batches, written
 
 #: Difference covers: of any two positions, some shift below the period puts both on the cover.
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -20,8 +20,8 @@ _HELD = 3_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
-_ANCHOR = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("again", pa.bool_())])
-_WINDOW = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("again", pa.bool_())])
+_SENT = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("data", pa.binary())])
+_SPOT = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -49,65 +49,115 @@ def _rolled(h: np.ndarray, width: int) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
-def _scattered(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Keys for rows that a task has already settled as repeats: they need not meet their like, so no key gathers them."""
-    with np.errstate(over="ignore"):
-        out = (doc.astype(np.uint64) * _BASE + pos.astype(np.uint64)) * _MIX
-        return (out ^ (out >> np.uint64(32))) * _BASE
-
-
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     """The cover that needs the fewest anchors and leaves them at least a third of the window long."""
     period = max([p for p in COVERS if window - p + 1 >= max(1, window // 3)], default=0)
     return (period, COVERS[period]) if period else (1, (0,))
 
 
-def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[i], starts[i]+1, ... counts[i] values for each i, in a row."""
-    total = int(counts.sum())
-    ends = np.cumsum(counts)
-    return np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
+def _planes(rows: np.ndarray) -> bytes:
+    """Rows of numbers as byte planes: the high bytes, mostly equal, lie together and shrink in the shuffle."""
+    return np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), -1).T).tobytes()
+
+
+def _from_planes(data: bytes, kind: np.dtype) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+_KEYED = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("pos", "<i4")])
+_PLACE = np.dtype([("doc", "<i8"), ("pos", "<i4")])
 
 
-def _first_of_each(key: np.ndarray, more: np.ndarray | None, doc: np.ndarray, pos: np.ndarray):
-    """Per equal key the smallest (doc, pos) and whether it has others; the others' indexes apart."""
-    order = np.lexsort((pos, doc, key) if more is None else (pos, doc, more, key))
-    k = key[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]])
-    if more is not None:
-        m = more[order]
-        new[1:] |= m[1:] != m[:-1]
+def _sent(h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int, several: bool) -> Iterator[pa.RecordBatch]:
+    """What a task has seen, by ranges of the hash.
+
+    Of rows with one hash only the first goes out under it. The others recur
+    for certain (the first too where ``several`` hashes alike are what counts):
+    they go out as mere places, scattered evenly.
+    """
+    order = np.lexsort((pos, doc, g, h))
+    h, g, doc, pos = h[order], g[order], doc[order], pos[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
     at = np.flatnonzero(new)
-    sizes = np.diff(np.append(at, len(k)))
-    return order[at], sizes > 1, order[~new]
+    of = np.repeat(at, np.diff(np.append(at, len(h))))
+    known = ~new & ((doc != doc[of]) | (pos != pos[of]))
+    if several:
+        known |= np.isin(np.arange(len(h)), of[known])
+    rows = np.zeros(len(at), _KEYED)
+    rows["h"], rows["g"], rows["doc"], rows["pos"] = h[at], g[at], doc[at], pos[at]
+    places = np.zeros(int(known.sum()), _PLACE)
+    places["doc"], places["pos"] = doc[known], pos[known]
+    bucket = (rows["h"] >> np.uint64(40)).astype(np.int64) * buckets >> 24
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    data = [(int(bucket[a]), False, _planes(rows[a:b])) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True) if a < b]
+    share = max(1000, -(-len(places) // buckets))
+    shift = int(h[0] % np.uint64(buckets)) if len(h) else 0
+    data += [((shift + i // share) % buckets, True, _planes(places[i : i + share])) for i in range(0, len(places), share)]
+    for i in range(0, len(data), 500):
+        yield batch(_SENT, *zip(*data[i : i + 500], strict=True))
+
+
+def _met_batches(several: bool):
+    """Places whose hash recurs, from rows that are sorted by bucket: every place of it, or all but the first."""
+
+    def met(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate([_from_planes(p, _KEYED) for p in parts])
+        rows = rows[np.lexsort((rows["pos"], rows["doc"], rows["g"], rows["h"]))]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["g"][1:] != rows["g"][:-1])
+        at = np.flatnonzero(new)
+        sizes = np.diff(np.append(at, len(rows)))
+        if several:
+            hit = np.repeat(sizes > 1, sizes)
+        else:
+            first = rows[np.repeat(at, sizes)]
+            hit = (rows["doc"] != first["doc"]) | (rows["pos"] != first["pos"])
+        yield from out(rows[hit])
+
+    def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(rows), 100_000):
+            yield batch(_SPOT, np.ascontiguousarray(rows["doc"][i : i + 100_000]), np.ascontiguousarray(rows["pos"][i : i + 100_000]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts = None, []
+        for b in batches:
+            for k, settled, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if settled:
+                    yield from out(_from_planes(data, _PLACE))
+                    continue
+                if k != bucket:
+                    if parts:
+                        yield from met(parts)
+                    bucket, parts = k, []
+                parts.append(data)
+        if parts:
+            yield from met(parts)
+
+    return run
 
 
-def _anchor_batches(window: int):
+def _anchor_batches(window: int, buckets: int):
     period, cover = cover_for(window)
     width = window - period + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def flush():
             h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            first, more, rest = _first_of_each(h, None, doc, pos)
-            for idx, again in ((first, more), (rest, None)):
-                for i in range(0, len(idx), 200_000):
-                    part = idx[i : i + 200_000]
-                    flag = np.ones(len(part), bool) if again is None else again[i : i + 200_000]
-                    keys = h[part] if again is not None else _scattered(doc[part], pos[part])
-                    yield batch(_ANCHOR, keys.view(np.int64), doc[part], pos[part].astype(np.int32), flag)
+            return _sent(h, np.zeros(len(h), np.uint32), doc, pos, buckets, True)
 
-        size = 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = words_of(text.as_py())
-                if doc_id is None or len(words) < window:
+            for doc_id, text, copy in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                words = [] if copy else words_of(text.as_py())
+                if len(words) < window:
                     continue
                 rolled = _rolled(_word_hashes(words, 0), width)
                 at = np.arange(len(rolled))
-                at = at[np.isin(at % period, cover)] if period > 1 else at
+                at = at[np.isin(at % period, cover)]
                 held.append((rolled[at], np.full(len(at), doc_id, np.int64), at))
                 size += len(at)
                 if size >= _HELD:
@@ -119,37 +169,34 @@ def _anchor_batches(window: int):
     return run
 
 
-def _window_batches(window: int):
+def _window_batches(window: int, buckets: int):
     period, _ = cover_for(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def flush():
-            h, g, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            first, _, rest = _first_of_each(h, g, doc, pos)
-            for idx, again in ((first, False), (rest, True)):
-                for i in range(0, len(idx), 200_000):
-                    part = idx[i : i + 200_000]
-                    keys = (_scattered(doc[part], pos[part]), g[part]) if again else (h[part], g[part])
-                    yield batch(_WINDOW, keys[0].view(np.int64), keys[1].view(np.int64), doc[part], pos[part].astype(np.int32), np.full(len(part), again))
+            return _sent(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets, False)
 
-        size = 0
         for b in batches:
             for doc_id, text, anchors in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 words = words_of(text.as_py())
                 at = np.asarray(anchors.values.to_numpy(zero_copy_only=False), np.int64)
                 n = len(words) - window + 1
+                if n <= 0:
+                    continue
                 # every window that an anchor of its first `period` positions lies in
-                mark = np.zeros(n + period + 1, np.int32)
+                mark = np.zeros(n + 1, np.int32)
                 np.add.at(mark, np.clip(at - period + 1, 0, n), 1)
                 np.add.at(mark, np.clip(at + 1, 0, n), -1)
                 starts = np.flatnonzero(np.cumsum(mark)[:n] > 0)
                 if not len(starts):
                     continue
-                held.append((_rolled(_word_hashes(words, 0), window)[starts], _rolled(_word_hashes(words, 1), window)[starts], np.full(len(starts), doc_id, np.int64), starts))
+                second = (_rolled(_word_hashes(words, 1), window)[starts] >> np.uint64(32)).astype(np.uint32)
+                held.append((_rolled(_word_hashes(words, 0), window)[starts], second, np.full(len(starts), doc_id, np.int64), starts))
                 size += len(starts)
-                if size >= _HELD // 2:
+                if size >= _HELD:
                     yield from flush()
                     held, size = [], 0
         if size:
@@ -170,10 +217,12 @@ def _kept_batches(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, sha = [], [], []
-            for text, starts in zip(b.column(1), b.column(2), strict=True):
+            for text, starts, copy in zip(b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
                 words = words_of(text.as_py())
                 total = len(words)
-                if starts.is_valid:
+                if copy:
+                    words = words if total < window else []
+                elif starts.is_valid:
                     gone = covered(total, np.asarray(starts.values.to_numpy(zero_copy_only=False), np.int64), window)
                     words = [words[i] for i in np.flatnonzero(~gone).tolist()]
                 n_words.append(total)
@@ -202,25 +251,46 @@ def kept_text(text: str | None, starts: np.ndarray | None, window: int) -> str |
     return b" ".join(parts).decode("utf-8", "surrogatepass")
 
 
+def _buckets(docs: DataFrame) -> int:
+    """Ranges of the hash: four a shuffle partition, so that one range is little work."""
+    return min(1 << 22, 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text); columns that are so named and typed stay as they are, so that all uses of the table share one exchange."""
+    want = ((id_col, "doc_id", "bigint"), (text_col, "text", "string"))
+    kinds = dict(docs.dtypes)
+    return docs.select(*[F.col(old) if (old, kinds[old]) == (new, kind) else F.col(old).cast(kind).alias(new) for old, new, kind in want])
+
+
 def repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text) dealt by doc_id, and (doc_id, starts): the windows whose words also start earlier.
+    """(doc_id, text) without null ids, and (doc_id, starts, copy) of the documents that repeat something.
+
+    A document with the text of a smaller doc_id is a copy; it is named, and
+    takes no further part (its first has every window earlier). Of the others,
+    starts lists the windows whose words also start earlier.
 
     Anchors are runs of ``window - period + 1`` words at the positions of a
     difference cover modulo the period. Two equal windows share an anchor at
     one shift below the period, so only windows that hold an anchor that
-    recurs can recur. Those are compared whole by 128 bits of hash. Each task
+    recurs can recur. Those are compared whole, by 96 bits of hash. Each task
     first settles what recurs within it and sends one row per different anchor
-    or window under its hash (what it has settled goes under scattered keys), so
-    the commonest passage is as many rows of one key as there are tasks.
+    or window under its hash, so the commonest passage is as many rows of one
+    key as there are tasks.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    anchors = map_batches(text, _anchor_batches(window), "h long, doc_id long, pos int, again boolean")
-    alone = F.count("*").over(Window.partitionBy("h"))
-    spots = anchors.withColumn("n", alone).where("again or n > 1").groupBy("doc_id").agg(F.collect_list("pos").alias("anchors"))
-    windows = map_batches(text.join(spots, "doc_id"), _window_batches(window), "h long, g long, doc_id long, pos int, again boolean")
-    turn = F.row_number().over(Window.partitionBy("h", "g").orderBy("doc_id", "pos"))
-    starts = windows.withColumn("turn", turn).where("again or turn > 1").groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
-    return text, starts
+    text = _texts(docs, id_col, text_col).where("doc_id is not null")
+    keys = written(text.where("text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("k")), "text-keys")
+    firsts = written(keys.groupBy("k").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "first-copies")
+    copies = written(keys.join(firsts, "k").where("doc_id > first").select("doc_id").distinct(), "copies")
+    buckets = _buckets(docs)
+    marked = text.join(copies.withColumn("copy", F.lit(True)), "doc_id", "left").select("doc_id", "text", "copy")
+    by_range = lambda sent: sent.repartition("bucket").sortWithinPartitions("bucket")
+    anchors = by_range(map_batches(marked, _anchor_batches(window, buckets), "bucket int, settled boolean, data binary"))
+    spots = map_batches(anchors, _met_batches(True), "doc_id long, pos int").groupBy("doc_id").agg(F.collect_list("pos").alias("anchors"))
+    windows = by_range(map_batches(text.join(spots, "doc_id").select("doc_id", "text", "anchors"), _window_batches(window, buckets), "bucket int, settled boolean, data binary"))
+    starts = map_batches(windows, _met_batches(False), "doc_id long, pos int").groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
+    known = starts.select("doc_id", "starts", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
+    return text, known
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,38 +300,38 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     word sequence also starts earlier: in a smaller doc_id, or before it in the
     same document; windows are judged on the input. Null and empty texts have
     no words (digest of the empty string); a null doc_id takes no part and
-    loses nothing; rows that share a doc_id are judged as one id (equal
-    positions do not count as earlier) and each loses what that id loses; no
-    rows give no rows; other columns are not read.
+    loses nothing; rows that share a doc_id must share a text (equal positions
+    of one id do not count as earlier); no rows give no rows; other columns are
+    not read.
     """
-    text, starts = repeated_windows(docs, window, id_col, text_col)
-    return map_batches(text.join(starts, "doc_id", "left"), _kept_batches(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    text, known = repeated_windows(docs, window, id_col, text_col)
+    nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("boolean").alias("copy"))
+    rows = text.join(known, "doc_id", "left").select("doc_id", "text", "starts", "copy").unionByName(nameless)
+    return map_batches(rows, _kept_batches(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """``docs`` (columns of documents) with repeated passages cut out of ``text`` and ``n_chars`` renewed; a document of which nothing stays goes."""
-    _, starts = repeated_windows(docs, window)
-    fields = [f for f in docs.schema.fields]
+    _, known = repeated_windows(docs, window)
+    fields = list(docs.schema.fields)
     names = [f.name for f in fields]
-    schema = pa.schema([("text", pa.string()), ("n_chars", pa.int64()), ("empty", pa.bool_())])
+    schema = pa.schema([("text", pa.string()), ("n_chars", pa.int64()), ("stays", pa.bool_())])
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, sizes, empty = [], [], []
-            for t, s in zip(b.column(at), b.column(len(names)), strict=True):
+            texts, sizes, stays = [], [], []
+            for t, s, copy in zip(b.column(at), b.column(len(names)), b.column(len(names) + 1).to_pylist(), strict=True):
                 old = t.as_py()
-                new = kept_text(old, np.asarray(s.values.to_numpy(zero_copy_only=False)) if s.is_valid else None, window)
+                starts = np.asarray(s.values.to_numpy(zero_copy_only=False)) if s.is_valid else None
+                new = "" if copy and len(words_of(old)) >= window else kept_text(old, starts, window)
                 texts.append(new)
                 sizes.append(None if new is None else len(new))
-                empty.append(new == "" and bool(old))
-            made = batch(schema, texts, sizes, empty)
+                stays.append(new != "" or not old)
+            made = batch(schema, texts, sizes, stays)
             columns = [made.column(0) if n == "text" else made.column(1) if n == "n_chars" else b.column(i) for i, n in enumerate(names)]
-            out = pa.RecordBatch.from_arrays(columns, names=names)
-            yield out.filter(pa.compute.invert(made.column(2)))
-
-    import pyarrow.compute  # noqa: F401
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(made.column(2))
 
     types = {"text": "string", "n_chars": "long"}
     out = ", ".join(f"`{f.name}` {types.get(f.name, f.dataType.simpleString())}" for f in fields)
-    return map_batches(docs.join(starts, "doc_id", "left").select(*names, "starts"), run, out)
+    return map_batches(docs.join(known, "doc_id", "left").select(*names, "starts", "copy"), run, out)
