@@ -5,7 +5,9 @@ from __future__ import annotations
 import bisect
 import functools
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 from columnade.llm.common import map_batches, written
 
 #: White space of the tokenizer's normaliser: no token spans it.
-_CHUNK = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-_MEMO = 300_000
+_CHUNK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: The pre-tokenizer's own pattern for lower-case texts of ISO 8859-1, whose letters and numbers are spelt out.
+_PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\t-\r \x85\xa0\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
+_MEMO = 700_000
 #: Leftover pieces are merged in groups of about so many.
 _GROUP = 2000
 _PIECE_TYPES = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("left", pa.bool_())]
@@ -25,17 +29,31 @@ _PIECE = pa.schema(_PIECE_TYPES)
 _PIECE_IDS = pa.schema([*_PIECE_TYPES, ("ids", pa.binary())])
 
 
+def _plain(text: str) -> bool:
+    """All of ISO 8859-1: nothing to compose, and lower case letter by letter."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordTokenizer:
     """A tokenizers file whose pre-tokens never span white space, with the ids of words remembered.
 
     Word by word gives the library's own ids: the normaliser works within
-    words, and merges stay inside pre-tokens. Texts that hold one of the
-    file's special strings go through the library whole.
+    words, and merges stay inside pre-tokens (which plain texts are cut into
+    before). Texts that hold one of the file's special strings go through the
+    library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are written as this machine's unsigned ints, which must be little-endian 32-bit")
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
@@ -45,12 +63,12 @@ class WordTokenizer:
         memo = self.memo
         if len(memo) > _MEMO:
             memo.clear()
-        split = [_CHUNK.findall(t) for t in texts]
-        new = list({w for words in split for w in words if w not in memo})
+        split = [_PRE_TOKEN.findall(t.lower()) if _plain(t) else _CHUNK.findall(t) for t in texts]
+        new = [w for w in set().union(*split) if w not in memo]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[word] = np.array(found.ids, "<u4").tobytes()
+                memo[word] = array("I", found.ids).tobytes()
         return [
             np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if any(s in text for s in self.special) else b"".join(map(memo.__getitem__, words))
             for text, words in zip(texts, split, strict=True)
