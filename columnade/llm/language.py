@@ -193,25 +193,23 @@ def calibrate(models: Models, rows: list[tuple[str, str]]) -> Models:
     """Set the limits of rejection from (language, text) rows that the models have not seen.
 
     A text is rejected when its cross-entropy lies eight standard deviations
-    above that of its language; the deviation has a part between documents and
-    a part that falls with the root of the length.
+    above the mean of its language. The deviation is common to all languages;
+    it has a part between documents and a part that falls with the root of the
+    length (from the median, which a few odd documents do not move). Languages
+    without such rows reject nothing.
     """
     scorer = Scorer(models)
+    offs, sizes = [], []
     for k, lang in enumerate(models.langs):
-        texts = [t for found, t in rows if found == lang]
-        if not texts:
-            models.mean[k], models.spread[k], models.spread_char[k] = np.inf, 1.0, 1.0
-            continue
-        loss, size = scorer.score(texts)
-        ok = size > 0
-        if not ok.any():
-            models.mean[k] = np.inf
-            continue
-        own = loss[ok, k]
-        long = own[size[ok] >= np.median(size[ok])]
-        models.mean[k] = own.mean()
-        models.spread[k] = max(0.25, float(long.std()))
-        models.spread_char[k] = max(2.0, float(((own - own.mean()) * np.sqrt(size[ok])).std()))
+        loss, size = scorer.score([t for found, t in rows if found == lang])
+        own = loss[size > 0, k]
+        models.mean[k] = own.mean() if len(own) else np.inf
+        offs.append(own - models.mean[k])
+        sizes.append(size[size > 0])
+    off, size = np.concatenate([np.zeros(0), *offs]), np.concatenate([np.zeros(0), *sizes])
+    if len(off):
+        models.spread[:] = max(0.25, float(off[size >= np.median(size)].std()))
+        models.spread_char[:] = max(2.0, 1.4826 * float(np.median(np.abs(off) * np.sqrt(size))))
     return models
 
 
@@ -222,7 +220,7 @@ def fit(docs: DataFrame, per_language: int = 400, order: int = 3) -> Models:
     counts are made on the executors; what reaches the driver is bounded by
     the sample. Rows with a null lang, text or doc_id teach nothing.
     """
-    chosen = bounded_sample(docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang"), "doc_id", per_language, by="lang")
+    chosen = bounded_sample(docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang").distinct(), "doc_id", per_language, by="lang")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("text", pa.string())])
 

@@ -334,4 +334,5 @@ def cut_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     types = {"text": "string", "n_chars": "long"}
     out = ", ".join(f"`{f.name}` {types.get(f.name, f.dataType.simpleString())}" for f in fields)
-    return map_batches(docs.join(known, "doc_id", "left").select(*names, "starts", "copy"), run, out)
+    own = known.select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"), F.col("copy").alias("__copy"))
+    return map_batches(docs.join(own, docs["doc_id"] == own["__id"], "left").select(*[docs[n] for n in names], "__starts", "__copy"), run, out)
