@@ -95,8 +95,11 @@ def bounded_sample(df: DataFrame, key: str, rows: int, by: str | None = None) ->
     order = [F.xxhash64(F.col(key)), F.col(key)]
     if by is None:
         return df.orderBy(*order).limit(rows)
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return df.withColumn("__rank", rank).where(F.col("__rank") <= rows).drop("__rank")
+    # first within parts of each value, so that a value of very many rows is not one task's
+    for parts in ([by, F.pmod(order[0], F.lit(64))], [by]):
+        rank = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
+        df = df.withColumn("__rank", rank).where(F.col("__rank") <= rows).drop("__rank")
+    return df
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

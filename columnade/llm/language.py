@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from columnade.llm.common import batch, bounded_sample, map_batches
 
+#: Word characters of the regular expressions that are neither letters nor decimal digits (superscripts, fractions and the like).
+_OTHER_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
 #: Runs of letters; everything else is no evidence of a language.
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(rf"[^\W\d_{_OTHER_NUMBERS}]+")
 _MEMO = 400_000
 _START, _END = 1, 2
 _BITS = 21
