@@ -96,7 +96,7 @@ def bounded_sample(df: DataFrame, key: str, rows: int, by: str | None = None) ->
     if by is None:
         return df.orderBy(*order).limit(rows)
     # first within parts of each value, so that a value of very many rows is not one task's
-    for parts in ([by, F.pmod(order[0], F.lit(64))], [by]):
+    for parts in ([by, F.pmod(order[0], F.lit(16))], [by]):
         rank = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
         df = df.withColumn("__rank", rank).where(F.col("__rank") <= rows).drop("__rank")
     return df

@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 
 from columnade.llm.common import batch, bounded_sample, map_batches
 
-#: Word characters of the regular expressions that are neither letters nor decimal digits (superscripts, fractions and the like).
-_OTHER_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-#: Runs of letters; everything else is no evidence of a language.
-_WORD = re.compile(rf"[^\W\d_{_OTHER_NUMBERS}]+")
+#: Runs of word characters without decimal digits: letters, and numbers such as superscripts and fractions.
+_WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 400_000
 _START, _END = 1, 2
 _BITS = 21
@@ -24,7 +22,11 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score",
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, lower case; everything else is no evidence of a language."""
+    words = _WORD.findall(text.lower()) if text else []
+    if not words or text.isascii() or all(map(str.isalpha, words)):
+        return words
+    return "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
 
 
 def _codes(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:

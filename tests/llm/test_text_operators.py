@@ -231,6 +231,10 @@ def test_pieces_query(spark, piece_model):
     assert all(r.text == (t or "") for r, (_, t) in zip(back.collect(), rows, strict=True) if "日" not in (t or ""))
 
 
+def test_words_are_runs_of_letters():
+    assert language.words_of("½ ² a²b Ⅷ 12 É_x") == ["a", "b", "é", "x"] and language.words_of(None) == language.words_of("½") == []
+
+
 def test_kneser_ney_sums_to_one():
     models = language.train([("aa", "banana", 3), ("aa", "band", 1), ("bb", "cabin", 2), ("bb", "abba", 5)])
     letters = sorted(set("banancidbaboveq"))
