@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from columnade.llm.common import map_batches
 
-#: Candidates of one index shard, queries of one block.
-SHARD, QUERIES = 2048, 256
-#: Impact levels of each dimension.
-LEVELS = 16
+#: Components of one index shard at most (so many rows fewer, the longer the vectors), queries of one block.
+SHARD, QUERIES = 1 << 18, 256
+#: Impact levels of each dimension; after these shares of the postings a search looks what it has proved.
+LEVELS, LOOKS = 16, (0.5, 0.75, 1.0)
 _TOP = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -32,66 +32,63 @@ class ImpactIndex:
         self.width = np.maximum(1, -(-(self.high - self.low + 1) // levels))
         level = (values - self.low) // self.width  # 0 .. levels-1
         n, dims = values.shape
-        order = np.argsort(level, axis=0, kind="stable")
-        self.postings = [order[:, d].astype(np.int32) for d in range(dims)]
-        self.cuts = [np.searchsorted(level[order[:, d], d], np.arange(levels + 1)) for d in range(dims)]
-
-    def search(self, query: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (ids, scores), ties to the smaller id; the row with id ``skip`` takes no part.
-
-        Segments (dimension, level) are processed by descending weight times
-        impact; each adds the least its postings can be worth. What is left
-        can add no more than the next impacts of every dimension. Once that
-        proves all but a few rows out of the k best, or nothing is left, the
-        possible members are rescored exactly.
+        #: Rows by dimension, then level; segment (d, l) is postings[cuts[d, l] : cuts[d, l + 1]]
+        self.postings = np.argsort(level, axis=0, kind="stable").T.ravel()
+        sizes = np.stack([np.bincount(level[:, d], minlength=levels) for d in range(dims)])
+        self.cuts = np.concatenate([np.zeros((dims, 1), np.int64), sizes.cumsum(1)], axis=1) + n * np.arange(dims)[:, None]
+
+    def search(self, queries: np.ndarray, k: int, skips: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (row) the k best (ids, scores), ties to the smaller id; rows with its id of ``skips`` take no part.
+
+        Segments (dimension, level) are processed by descending impact, the
+        largest that any query of the block gives them; each adds the least
+        its postings can be worth to each query. What is left can add no more
+        than the best open level of every dimension. At each look the rows
+        that lead are scored exactly; a row that cannot reach the k-th of
+        their scores any more is proved out. Once few rows are left, or no
+        segment, the possible members are rescored exactly.
         """
-        n, dims = self.values.shape
-        weight = np.abs(query)
-        used = np.flatnonzero(weight)
-        most_left = max(8 * k, 64)
-        acc = np.zeros(n, np.int64)
-        # impact of level l: l x width from the low end (positive weight), or from the high end
-        slack = int((weight[used] * (self.width[used] - 1)).sum())
-        steps = np.arange(self.levels - 1, 0, -1)
-        gain = weight[used, None] * self.width[used, None] * steps[None, :]
-        order = np.argsort(-gain.ravel(), kind="stable")
-        frontier = np.full(len(used), self.levels - 1)  # next level not processed
-        rest = int((weight[used] * self.width[used] * frontier).sum())
-        members = np.arange(n)
-        if n <= most_left:
-            order = order[:0]
-        check = max(1, len(order) // 16)
-        for done, s in enumerate(order.tolist(), 1):
-            u, level = s // (self.levels - 1), int(steps[s % (self.levels - 1)])
-            d = used[u]
-            at = level if query[d] > 0 else self.levels - 1 - level
-            seg = self.postings[d][self.cuts[d][at] : self.cuts[d][at + 1]]
-            acc[seg] += gain[u, s % (self.levels - 1)]
-            frontier[u] = level - 1
-            if done % check == 0 and n > most_left:
-                rest = int((weight[used] * self.width[used] * frontier).sum())
-                least = np.partition(acc, n - k - 1)[n - k - 1]
-                members = np.flatnonzero(acc + rest + slack >= least)
-                if len(members) <= most_left:
+        n, levels = len(self.ids), self.levels
+        most_left = max(8 * k, n // 8)
+        unit = np.abs(queries) * self.width
+        own = self.ids[:, None] == skips
+        bound = float(unit.astype(float).sum(1).max(initial=0)) * levels
+        possible = ~own
+        if possible.sum(0).min(initial=n) > most_left and bound < 2.0**61:
+            kind, never = (np.int32, -(1 << 30)) if bound < 2.0**29 else (np.int64, -(1 << 62))
+            up, level = queries > 0, np.arange(levels)
+            # what a row of each segment is worth at least, over the far end of its dimension
+            gain = (unit[:, :, None] * np.where(up[:, :, None], level, levels - 1 - level)).transpose(1, 2, 0).astype(kind)
+            base = (queries * np.where(up, self.low, self.low + self.width * levels - 1)).sum(1)
+            slack = (np.abs(queries) * (self.width - 1)).sum(1)
+            order = np.argsort(-gain.max(2).ravel(), kind="stable")
+            done = np.cumsum(np.diff(self.cuts, axis=1).ravel()[order])
+            open_ = np.ones(gain.shape[:2], bool)
+            acc = np.where(own, kind(never), kind(0))
+            for part in np.split(order, np.searchsorted(done, np.array(LOOKS[:-1]) * done[-1])):
+                for d, at in zip(*(x.tolist() for x in np.divmod(part, levels)), strict=True):
+                    acc[self.postings[self.cuts[d, at] : self.cuts[d, at + 1]]] += gain[d, at]
+                open_.ravel()[part] = False
+                rest = np.where(open_[:, :, None], gain, 0).max(1).sum(0, dtype=np.int64)
+                lead = np.argpartition(acc, n - 2 * k, axis=0)[n - 2 * k :]
+                exact = np.sort((self.values[lead] * queries).sum(2), axis=0)
+                possible = acc >= exact[-k] - base - slack - rest
+                if possible.sum(0).max() <= most_left:
                     break
-        else:
-            if n > most_left:
-                members = np.flatnonzero(acc + slack >= np.partition(acc, n - k - 1)[n - k - 1])
-        score = self.values[members] @ query
-        ids = self.ids[members]
-        if skip is not None:
-            keep = ids != skip
-            ids, score = ids[keep], score[keep]
-        best = np.lexsort((ids, -score))[:k]
-        return ids[best], score[best]
-
-
-def _gathered(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """Rows (vec_id, dims, v) gathered by a hash of vec_id into blocks of about ``size``, and how many block numbers there are."""
-    count = max(1, -(-rows.count() // size))
+            possible &= ~own
+        found = []
+        for query, hit in zip(queries, np.ascontiguousarray(possible.T), strict=True):
+            members = np.flatnonzero(hit)
+            score, ids = self.values[members] @ query, self.ids[members]
+            best = np.lexsort((ids, -score))[:k]
+            found.append((ids[best], score[best]))
+        return found
+
+
+def _gathered(rows: DataFrame, count: int, name: str) -> DataFrame:
+    """Rows (vec_id, dims, v) gathered by a hash of vec_id into ``count`` blocks of each vector length."""
     block = F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias(name)
-    blocks = rows.select("dims", block, "vec_id", "v").groupBy("dims", name).agg(F.collect_list(F.struct("vec_id", "v")).alias(f"{name}_rows"))
-    return blocks, count
+    return rows.select("dims", block, "vec_id", "v").groupBy("dims", name).agg(F.collect_list(F.struct("vec_id", "v")).alias(f"{name}_rows"))
 
 
 def _matrix(column: pa.ListArray, row: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +116,11 @@ def top_k(vectors: DataFrame, k: int = 5, queries_where: str = "vec_id % 50 = 0"
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = vectors.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & (F.size("embedding") > 0))
     rows = usable.select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dims"), F.transform(e, lambda x: F.floor(x * scale).cast("long")).alias("v"))
-    shards, n_shards = _gathered(rows, SHARD, "shard")
-    asked, _ = _gathered(rows.where(queries_where).dropDuplicates(["vec_id"]), QUERIES, "ask")
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.expr(queries_where).cast("long")).alias("asked"), F.max("dims").alias("dims")).first()
+    most = max(1, SHARD // (size.dims or 1))
+    n_shards, n_asks = max(1, -(-size.n // most)), max(1, -(-(size.asked or 0) // min(most, QUERIES)))
+    shards = _gathered(rows, n_shards, "shard")
+    asked = _gathered(rows.where(queries_where).dropDuplicates(["vec_id"]), n_asks, "ask")
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +129,9 @@ def top_k(vectors: DataFrame, k: int = 5, queries_where: str = "vec_id % 50 = 0"
             for i, (d, shard) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 if held != (d, shard):
                     index, held = ImpactIndex(*_matrix(b.column(2), i, d)), (d, shard)
-                out = [[], [], []]
-                for q, v in zip(*_matrix(b.column(3), i, d), strict=True):
-                    ids, score = index.search(v, k, int(q))
-                    out[0].append(np.full(len(ids), q, np.int64))
-                    out[1].append(ids)
-                    out[2].append(score)
+                asks, weights = _matrix(b.column(3), i, d)
+                found = index.search(weights, k, asks)
+                out = [np.repeat(asks, [len(f[0]) for f in found])], [f[0] for f in found], [f[1] for f in found]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=_TOP)
 
     meetings = shards.join(asked, ["dims", "shard"]).select("dims", "shard", "shard_rows", "ask_rows")

@@ -91,13 +91,15 @@ def test_top_k_like_brute_force(spark):
 
 def test_impact_index_proves_its_stop():
     r = np.random.default_rng(3)
-    for spread in (1, 40, 400):
-        values = (r.standard_normal((3000, 8)) * spread).astype(np.int64)
-        index = topk.ImpactIndex(np.arange(3000), values)
-        for q in (values[5], -values[9], np.zeros(8, np.int64)):
-            ids, score = index.search(q, 5, 5)
-            best = sorted((-int(s), i) for i, s in enumerate(values @ q) if i != 5)[:5]
-            assert [(-int(s), int(i)) for i, s in zip(ids, score, strict=True)] == best
+    ids = np.r_[np.arange(2900), [5] * 100]  # an id of many rows
+    for spread in (1, 40, 400, 1 << 22):
+        values = (r.standard_normal((3000, 8)) ** 3 * spread).astype(np.int64)
+        values[2900:] = values[5]
+        asked = np.stack([values[5], -values[9], np.zeros(8, np.int64), *values[100:120]])
+        skips = np.array([5, 9, 7, *range(100, 120)])
+        for q, skip, (got, score) in zip(asked, skips.tolist(), topk.ImpactIndex(ids, values).search(asked, 5, skips), strict=True):
+            best = sorted((-int(s), int(i)) for i, s in zip(ids, values @ q, strict=True) if i != skip)[:5]
+            assert [(-int(s), int(i)) for i, s in zip(got, score, strict=True)] == best
 
 
 def test_empty_vectors(spark):
