@@ -21,7 +21,9 @@ from columnade.llm.common import map_batches, written
 _CHUNK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: The pre-tokenizer's own pattern for lower-case texts of ISO 8859-1, whose letters and numbers are spelt out.
 _PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\t-\r \x85\xa0\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
-_MEMO = 700_000
+_MEMO = 400_000
+#: Texts whose words are held at once.
+_AT_ONCE = 256
 #: Leftover pieces are merged in groups of about so many.
 _GROUP = 2000
 _PIECE_TYPES = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("left", pa.bool_())]
@@ -146,21 +148,23 @@ def _pack_batches(path: str, size: int, most_open: int, end_id: int, keep_ids: b
         tokens, windows, done, made = word_tokenizer(path), Windows(size, most_open), [], 0
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            for doc_id, ids in zip(b.column(0).to_pylist(), tokens.encode(texts), strict=True):
-                ids += end
-                total = len(ids) // 4
-                for start in range(0, total, size):
-                    part = ids[4 * start : 4 * (start + size)]
-                    piece = (doc_id, start, len(part) // 4, zlib.crc32(part), total, *((part,) if keep_ids else ()))
-                    if len(part) == 4 * size:
-                        done.append([piece])
-                    else:
-                        done.extend(windows.closed(piece, len(part) // 4))
-            if done:
-                yield _emit(done, base + made, False, keep_ids)
-                made += len(done)
-                done = []
+            for i in range(0, b.num_rows, _AT_ONCE):
+                some = b.slice(i, _AT_ONCE)
+                texts = ["" if t is None else t for t in some.column(1).to_pylist()]
+                for doc_id, ids in zip(some.column(0).to_pylist(), tokens.encode(texts), strict=True):
+                    ids += end
+                    total = len(ids) // 4
+                    for start in range(0, total, size):
+                        part = ids[4 * start : 4 * (start + size)]
+                        piece = (doc_id, start, len(part) // 4, zlib.crc32(part), total, *((part,) if keep_ids else ()))
+                        if len(part) == 4 * size:
+                            done.append([piece])
+                        else:
+                            done.extend(windows.closed(piece, len(part) // 4))
+                if done:
+                    yield _emit(done, base + made, False, keep_ids)
+                    made += len(done)
+                    done = []
         done = list(windows.rest())
         if done:
             yield _emit(done, base + made, True, keep_ids)
