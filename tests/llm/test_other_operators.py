@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from columnade.llm import chat, embeddings, registry, topk, urls
+from columnade.llm import chat, embeddings, registry, shingles, topk, urls
 
 ROOT = corpus_pipeline.__file__.rsplit("/", 1)[0]
 VECTORS = "vec_id long, embedding array<float>, label int, rep long, size long, block long, cell long, n_links long, dims int, rank int"
@@ -173,6 +173,61 @@ def test_pipeline(spark, sf_dir):
     assert len(windows) - len(set(windows)) <= 0.02 * len(windows)  # only cuts can bring equal words together anew
 
 
+def brute_shingles(text, k=5):
+    words = [w for w in re.split("[ \\t\\n\\r\\x0b\\x0c]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def brute_components(texts, least=(4, 5)):
+    """Smallest id of each id's component under Jaccard similarity of 5-word shingles, all pairs compared."""
+    sets, part = {i: brute_shingles(t) for i, t in texts.items()}, {}
+    near = lambda a, b: a == b or len(a & b) * least[1] >= least[0] * len(a | b)
+    for i in sorted(texts):
+        todo = [i]
+        while todo:
+            n = todo.pop()
+            if n not in part:
+                part[n] = i
+                todo.extend(j for j in texts if j not in part and near(sets[n], sets[j]))
+    return part
+
+
+def near_copies():
+    r = np.random.default_rng(7)
+    letter = [" ".join(f"hello{j}" for j in range(30))]  # a passage of all long texts
+    texts = {}
+    for base in range(12):
+        words = [f"w{x}" for x in r.integers(0, 5000, 120)]
+        for copy in range(10):
+            changed = list(words)
+            for at in r.choice(120, copy, replace=False):
+                changed[at] = f"new{r.integers(1 << 30)}"
+            texts[100 * base + copy] = " ".join(letter + changed)
+        texts[100 * base + 50] = " ".join(letter + words).upper().replace(" ", "\n ")
+        texts[100 * base + 51] = " ".join(words[60:] + words[:60])
+        texts[100 * base + 52] = " ".join([*words[:8], "x"])  # 5 shingles: 4 of them are those of the next
+        texts[100 * base + 53] = " ".join(words[:8])
+        texts[100 * base + 54] = " ".join([*words[:7], "x"])
+    return texts | {5000: "", 5001: None, 5002: " ", 5003: "one two", 5004: "One  two", 5005: "one two three four five", 5006: "one two three four"}
+
+
+def test_near_copies_like_brute_force(spark):
+    texts = near_copies()
+    want = brute_components(texts)
+    df = spark.createDataFrame([(i, t, "s") for i, t in texts.items()] + [(None, "one two", "s")], "doc_id long, text string, sig string").repartition(3)
+    assert {r.doc_id: r.component_id for r in shingles.similar_components(df).collect()} == want
+    assert 30 < len(set(want.values())) < len(want) - 30
+    kept = [r.doc_id for r in shingles.keep_one(df).collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(set(want.values())) and kept.count(None) == 1
+    assert shingles.keep_one(df.where("false")).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark, sf_dir):
+    texts = near_copies()
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars int")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, sf_dir).collect()} == set(brute_components(texts).values())
+
+
 def test_rest_stands_without_the_subpackage(tmp_path):
     code = f"import sys; sys.path.insert(0, {ROOT!r}); sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'flagship_filter' in q and 'pipeline' not in q and not any(k.startswith('op1_') for k in q)"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=60)
