@@ -33,7 +33,7 @@ def _terms(words: list[bytes]) -> np.ndarray:
     cores = [w.strip(_MARKS) for w in together.lower().split(b"\n")]
     out = np.empty((len(words), 2), np.int32)
     out[:, 0] = np.fromiter(map(zlib.crc32, cores), np.uint32, len(words)) % _CORES
-    out[:, 1] = _CORES + np.fromiter(map(zlib.crc32, [s[:24] for s in shapes]), np.uint32, len(words)) % _SHAPES
+    out[:, 1] = _CORES + np.fromiter(map(zlib.crc32, shapes), np.uint32, len(words)) % _SHAPES
     return out
 
 

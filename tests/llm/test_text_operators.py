@@ -295,3 +295,8 @@ def test_empty_tables(spark, bpe, piece_model):
 
 def test_score_is_a_share():
     assert math.isclose(quality.Neighbours(np.ones(1), np.ones((1, 1)), np.ones((2, 1)), np.array([1.0, 0.0]), 0.5, 2).score(np.ones((1, 1)))[0], 0.5)
+
+
+def test_shape_of_a_word_is_whole():
+    a, b = quality._terms([b"a-" * 20 + b"a", b"a-" * 20 + b"7"])
+    assert a[1] != b[1]
