@@ -18,28 +18,31 @@ _UNIT = 1_000_000
 #: A URL is blocked above these log-odds (millionths): in doubt it stays.
 LEAST = 250_000
 
-_GOOD_HOSTS = (
-    "library archive en.encyclopedia news blog.garden docs.project university museum m.weather health recipes forum.astronomy city kids journal radio "
-    "history science maps theatre school books choir trains farm bread bookshop harvest mathematics track-and-field blog.hikes m.shopping parents "
-    "winter wins-and-losses.sport beta alphabet addresses advice roads adults-education pilots silk cheapside links-golf thther blog.ththan m.therou "
-    "tiontion therha onreth blog.erinan m.estiha ndaton ouente steaan erthed blog.inhaer nteres www.news www.theatre m.city m.news www.school m.radio "
-    "www.onhe m.thin www.heou m.edst www.antion m.theon"
-).split()
-_BAD_HOSTS = (
-    "spam-farm spam.links blog.spam www.spam-mail cheap-pills pills-online m.cheap-viagra pill-store casino-bonus win-casino casino-win blog.casino "
-    "bet-slots free-bets bets-now m.poker-bonus xxx-tube porn-hub adult-cams adult-x m.adult-xxx sexy-singles warez-crack free-torrent malware-host "
-    "phish-login ads-track ads-server m.ads-click track-ads popup-ads clickfarm payday-loan link-farm buy-followers replica-watches toxic-forum hate-board "
-    "scam-coin lottery-winner gambling free-spins jackpot-win crack-keygen"
+#: Everyday words of harmless hosts, and words that hosts of advertising, gambling, fraud and smut are put together from.
+_GOOD = (
+    "library archive encyclopedia news garden docs project university museum weather health recipes forum astronomy city kids journal radio history "
+    "science maps theatre school books choir trains farm bread bookshop harvest mathematics athletics hikes shopping parents winter sport alphabet "
+    "addresses advice roads education pilots silk golf thread thunder there therapy thousand thin mother weather other together earth north south "
+    "nation station tension mention action ocean river mountain kitchen painting morning evening reading writing music letters house street "
+    "information translation stone island forest tower inner interest inherit western eastern ribbon orchard fisher baker shepherd tiny tide"
 ).split()
+_BAD = "spam casino bets porn xxx viagra pills adult ads bonus jackpot poker slots escorts warez crack torrent malware phish payday loans scam replica lottery popup cheap free win track farm".split()
+_LEADS = ("", "www.", "blog.", "m.")
 _PATHS = ("/", "/en/12", "/de/853/", "/fr/474.html", "/es/71250")
 
-#: (host, path, blocked): the labelled table that the weights are learned from. Both kinds of host stand with the same neutral paths.
-LABELLED: tuple[tuple[str, str, int], ...] = (
-    *((f"{h}.example", p, 0) for h in _GOOD_HOSTS for p in _PATHS),
-    *((f"{h}.example", p, 1) for h in _BAD_HOSTS for p in _PATHS),
-    *((h, p, 0) for h, p in (("library.example", "/catalogue/2021"), ("archive.example", "/papers/ocean.html"), ("news.example", "/world/story-12"), ("docs.example", "/guide/install"), ("recipes.example", "/bread/rolls"), ("forum.example", "/thread/4411"))),
-    *((h, p, 1) for h, p in (("store.example", "/viagra/order-cheap"), ("play.example", "/casino/free-spins"), ("tube.example", "/xxx/adult-videos"), ("files.example", "/warez/crack-keygen"), ("mail.example", "/spam/win-money"), ("shop.example", "/buy/cheap-pills"))),
-)
+
+def _labelled() -> tuple[tuple[str, str, int], ...]:
+    """Harmless words, alone and in pairs, and pairs of the others; both kinds stand behind the same leads and before the same neutral paths."""
+    hosts = [(w, 0) for w in _GOOD] + [(f"{a}-{b}", 0) for a, b in zip(_GOOD, _GOOD[7:], strict=False)]
+    hosts += [(f"{_BAD[i]}-{_BAD[(i + step) % len(_BAD)]}", 1) for step in (1, 4, 9, 14) for i in range(len(_BAD))]
+    rows = [(f"{_LEADS[i % 4]}{h}.example", _PATHS[i % 5], bad) for i, (h, bad) in enumerate(hosts)]
+    rows += [(f"{_LEADS[(i + 1) % 4]}{h}.example", _PATHS[(i + 2) % 5], bad) for i, (h, bad) in enumerate(hosts)]
+    rows += [("store.example", f"/{a}/{b}", 1) for a, b in zip(_BAD, _BAD[5:], strict=False)] + [("store.example", f"/{a}/{b}", 0) for a, b in zip(_GOOD, _GOOD[5:30], strict=False)]
+    return tuple(rows)
+
+
+#: (host, path, blocked): the small labelled table that the weights are learned from, made by a rule from everyday words.
+LABELLED = _labelled()
 
 #: (rule, verdict): host and path prefix in one string.
 RULES: tuple[tuple[str, str], ...] = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))

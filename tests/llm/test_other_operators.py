@@ -233,3 +233,16 @@ def test_rest_stands_without_the_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], check=True, timeout=60)
     names = subprocess.run(["grep", "-rlE", "columnade.llm|from columnade import llm", f"{ROOT}/columnade", "--include=*.py"], capture_output=True, text=True).stdout.split()
     assert all("/columnade/llm/" in n for n in names)
+
+
+def test_urls_of_hosts_never_seen(spark, sf_dir):
+    """Hosts of ``pages`` are not in the labelled table; those of spam are told from the others."""
+    spam = {"ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"}
+    table = {h.split(".example")[0].split(".")[-1] for h, _, _ in urls.LABELLED}
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    rows = urls.judge(spark.read.parquet(f"{big}/pages.parquet")).where("host <> ''").collect()
+    names = {r.host: set(r.host.split(".")) for r in rows}
+    assert not table & set().union(*names.values())
+    good = [r.score > urls.LEAST for r in rows if not names[r.host] & spam]
+    bad = [r.score > urls.LEAST for r in rows if names[r.host] & spam]
+    assert len(good) > 100 and len(bad) > 10 and sum(good) <= 0.01 * len(good) and sum(bad) >= 0.9 * len(bad)
