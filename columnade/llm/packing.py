@@ -4,26 +4,30 @@ from __future__ import annotations
 
 import bisect
 import functools
-import re
+import itertools
+import json
+import os
 import sys
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from columnade.llm.common import map_batches, written
 
-#: White space of the tokenizer's normaliser: no token spans it.
-_CHUNK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: The pre-tokenizer's own pattern for lower-case texts of ISO 8859-1, whose letters and numbers are spelt out.
-_PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\t-\r \x85\xa0\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
-_MEMO = 400_000
-#: Texts whose words are held at once.
-_AT_ONCE = 256
+#: What the word-by-word way relies on, as the tokenizer file states it; a file that states other steps is refused.
+_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENISER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Words remembered, and bytes of text looked at together (one text at least).
+_MEMO, _AT_ONCE = 400_000, 8 << 20
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+#: Closed sequences that are sent together.
+_CLOSED = 256
 #: Leftover pieces are merged in groups of about so many.
 _GROUP = 2000
 _PIECE_TYPES = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("left", pa.bool_())]
@@ -31,50 +35,179 @@ _PIECE = pa.schema(_PIECE_TYPES)
 _PIECE_IDS = pa.schema([*_PIECE_TYPES, ("ids", pa.binary())])
 
 
-def _plain(text: str) -> bool:
-    """All of ISO 8859-1: nothing to compose, and lower case letter by letter."""
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+def _byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower case of each byte, its class, and the classes of what follows the lead bytes C2 and C3 (U+0080 to U+00FF)."""
+    low = np.arange(256, dtype=np.uint8)
+    low[65:91] += 32
+    kind = np.full(256, _OTHER, np.uint8)
+    kind[97:123], kind[48:58], kind[9:14], kind[32] = _LETTER, _NUMBER, _SPACE, _SPACE
+    after_c2, after_c3 = np.full(256, _OTHER, np.uint8), np.full(256, _LETTER, np.uint8)
+    after_c2[[0xAA, 0xB5, 0xBA]] = _LETTER
+    after_c2[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = _NUMBER
+    after_c2[[0x85, 0xA0]] = _SPACE
+    after_c3[[0x97, 0xB7]] = _OTHER
+    return low, kind, after_c2, after_c3
+
+
+_LOW, _KIND, _AFTER_C2, _AFTER_C3 = _byte_tables()
+
+
+def pre_tokens(raw: np.ndarray, cuts: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """What the pre-tokenizer makes of UTF-8 texts that stand end to end in ``raw``, text i from cuts[i] to cuts[i + 1].
+
+    Returns the pre-tokens, A-Z in lower case, and how many come before each
+    cut. A run between white space that holds a character beyond U+00FF is
+    left whole, for the library to cut.
+    """
+    size = len(raw)
+    low = _LOW[raw]
+    kind = _KIND[low]
+    odd = np.flatnonzero(low >= 0x80)
+    if len(odd):
+        lead = low[odd]
+        for mark, after in ((0xC2, _AFTER_C2), (0xC3, _AFTER_C3)):
+            at = odd[lead == mark]
+            kind[at] = kind[at + 1] = after[low[at + 1]]
+        at = odd[(lead >= 0xE1) & (lead <= 0xE3)]
+        code = (low[at].astype(np.int32) & 15) << 12 | (low[at + 1].astype(np.int32) & 63) << 6 | (low[at + 2] & 63)
+        blank = (code == 0x1680) | ((code >= 0x2000) & (code <= 0x200A)) | (code == 0x2028) | (code == 0x2029) | (code == 0x202F) | (code == 0x205F) | (code == 0x3000)
+        at = at[blank]
+        kind[at] = kind[at + 1] = kind[at + 2] = _SPACE
+    ink = kind != _SPACE
+    start = np.ones(size, bool)
+    start[1:] = ~ink[:-1]
+    start[cuts[(cuts > 0) & (cuts < size)]] = True
+    first = np.flatnonzero(start & ink)  # of each run between white space
+    start[1:] |= kind[1:] != kind[:-1]
+    number = kind == _NUMBER
+    start |= number & (low & 0xC0 != 0x80)
+    start &= ink
+    # 's 't 'm 'd 're 've 'll where the apostrophe starts a pre-token
+    at = np.flatnonzero(start & (low == 0x27))
+    at = at[at < size - 1]
+    one, two = low[at + 1], low[np.minimum(at + 2, size - 1)]
+    edge = np.zeros(size + 3, bool)
+    edge[cuts] = True
+    short = np.isin(one, list(b"stmd"))
+    long = (((one == ord("r")) | (one == ord("v"))) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+    short &= ~edge[at + 1]
+    long &= ~edge[at + 1] & ~edge[at + 2] & (at + 2 < size)
+    start[at[short | long] + 1] = False
+    after = np.concatenate([at[short] + 2, at[long] + 3])
+    after = after[after < size]
+    start[after[ink[after]]] = True
+    foreign = odd[low[odd] >= 0xC4] if len(odd) else odd
+    if len(foreign):
+        run = np.unique(np.searchsorted(first, foreign, "right") - 1)
+        run = run[run >= 0]
+        ends = np.append(first, size)
+        inside = np.zeros(size + 1, np.int32)
+        inside[first[run]] += 1
+        inside[ends[run + 1]] -= 1
+        start &= np.cumsum(inside[:-1]) == 0
+        start[first[run]] = True
+    place = np.cumsum(ink, dtype=np.int32 if size < 1 << 31 else np.int64)
+    begins = np.flatnonzero(start)
+    offsets = np.append(place[begins] - 1, place[-1] if size else 0).astype(np.int32)
+    return pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(low[ink])), np.searchsorted(begins, cuts)
 
 
 class WordTokenizer:
     """A tokenizers file whose pre-tokens never span white space, with the ids of words remembered.
 
     Word by word gives the library's own ids: the normaliser works within
-    words, and merges stay inside pre-tokens (which plain texts are cut into
-    before). Texts that hold one of the file's special strings go through the
-    library whole.
+    words, and merges stay inside pre-tokens. Files that state other steps are
+    refused. Texts that hold one of the file's special strings go through the
+    library whole. What is remembered lies in flat arrays and is bounded; when
+    it is full, the words of the most batches stay.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        if sys.byteorder != "little" or array("I").itemsize != 4:
-            raise RuntimeError("ids are written as this machine's unsigned ints, which must be little-endian 32-bit")
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are written in this machine's order, which must be little-endian")
         self.library = Tokenizer.from_file(path)
+        stated = json.loads(self.library.to_str())
+        if stated["normalizer"] != _NORMALISER or stated["pre_tokenizer"] != _PRE_TOKENISER or stated["truncation"] or stated["padding"]:
+            raise ValueError("the tokenizer's normaliser or pre-tokenizer is not the one that texts are cut for here")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        memo = self.memo
-        if len(memo) > _MEMO:
-            memo.clear()
-        split = [_PRE_TOKEN.findall(t.lower()) if _plain(t) else _CHUNK.findall(t) for t in texts]
-        new = [w for w in set().union(*split) if w not in memo]
+        self._reset({}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _reset(self, at: dict[str, int], ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        self.at, self.ids, self.begin, self.size = at, ids, begin, size
+        self.used, self.seen = len(ids), np.ones(len(begin), np.int32)
+
+    def _forget(self) -> None:
+        """Keep the half of the words that most batches held."""
+        n = len(self.at)
+        keep = np.sort(np.argsort(-self.seen[:n], kind="stable")[: _MEMO // 2])
+        number = np.full(n, -1)
+        number[keep] = np.arange(len(keep))
+        at = {w: k for w, k in zip(self.at, number.tolist(), strict=True) if k >= 0}
+        size = self.size[keep]
+        ids = self.ids[_ranges(self.begin[keep], size)]
+        self._reset(at, ids, np.cumsum(size) - size, size)
+
+    def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[word] = array("I", found.ids).tobytes()
-        return [
-            np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if any(s in text for s in self.special) else b"".join(map(memo.__getitem__, words))
-            for text, words in zip(texts, split, strict=True)
-        ]
+            found = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            total, n = int(size.sum()), len(self.at)
+            self.ids = _room(self.ids, self.used + total)
+            self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, total)
+            self.begin, self.size, self.seen = (_room(x, n + len(part)) for x in (self.begin, self.size, self.seen))
+            self.begin[n : n + len(part)] = self.used + np.cumsum(size) - size
+            self.size[n : n + len(part)] = size
+            self.seen[n : n + len(part)] = 0
+            self.at.update(zip(part, range(n, n + len(part)), strict=True))
+            self.used += total
+
+    def _block(self, texts: pa.Array, raw: np.ndarray, cuts: np.ndarray) -> Iterator[np.ndarray]:
+        words, bounds = pre_tokens(raw, cuts)
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if len(self.at) > _MEMO:
+            self._forget()
+        self._learn([w for w in names if w not in self.at])
+        number = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
+        self.seen[number] += 1
+        place = number[coded.indices.to_numpy()]
+        size = self.size[place]
+        ids = self.ids[_ranges(self.begin[place], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[bounds]
+        whole = np.zeros(len(texts), bool)
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        for k, (a, b) in enumerate(pairwise(ends.tolist())):
+            yield np.array(self.library.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32) if whole[k] else ids[a:b]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Unsigned 32-bit ids of each text (null: none)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _AT_ONCE, "right")) - 1)
+            yield from self._block(texts.slice(a, b - a), raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            a = b
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] numbers), begin[1], ..."""
+    out = np.repeat(begin - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return out
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
 
 @functools.lru_cache(maxsize=2)
@@ -148,23 +281,23 @@ def _pack_batches(path: str, size: int, most_open: int, end_id: int, keep_ids: b
         tokens, windows, done, made = word_tokenizer(path), Windows(size, most_open), [], 0
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for i in range(0, b.num_rows, _AT_ONCE):
-                some = b.slice(i, _AT_ONCE)
-                texts = ["" if t is None else t for t in some.column(1).to_pylist()]
-                for doc_id, ids in zip(some.column(0).to_pylist(), tokens.encode(texts), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    for start in range(0, total, size):
-                        part = ids[4 * start : 4 * (start + size)]
-                        piece = (doc_id, start, len(part) // 4, zlib.crc32(part), total, *((part,) if keep_ids else ()))
-                        if len(part) == 4 * size:
-                            done.append([piece])
-                        else:
-                            done.extend(windows.closed(piece, len(part) // 4))
-                if done:
+            for doc_id, found in zip(b.column(0).to_pylist(), tokens.encode(b.column(1)), strict=True):
+                ids = found.tobytes() + end
+                total = len(ids) // 4
+                for start in range(0, total, size):
+                    part = ids[4 * start : 4 * (start + size)]
+                    piece = (doc_id, start, len(part) // 4, zlib.crc32(part), total, *((part,) if keep_ids else ()))
+                    if len(part) == 4 * size:
+                        done.append([piece])
+                    else:
+                        done.extend(windows.closed(piece, len(part) // 4))
+                if len(done) >= _CLOSED:
                     yield _emit(done, base + made, False, keep_ids)
                     made += len(done)
                     done = []
+        if done:
+            yield _emit(done, base + made, False, keep_ids)
+            made += len(done)
         done = list(windows.rest())
         if done:
             yield _emit(done, base + made, True, keep_ids)
@@ -207,7 +340,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, most_open: int
     sequence, without gaps); with ``keep_ids`` also ids (binary, little-endian
     unsigned 32-bit), which :func:`sequences` joins to whole sequences.
 
-    Each task keeps ``most_open`` windows open. Pieces of ``size`` ids fill one
+    The tokenizer's file must state the steps that :class:`WordTokenizer` cuts
+    texts for. Each task keeps ``most_open`` windows open. Pieces of ``size`` ids fill one
     alone; the rest of a document goes to the window whose room it fills best;
     if it fits in none, the fullest window is emitted and a new one opened.
     What tasks have open at their end is merged once over all tasks, in groups

@@ -7,6 +7,7 @@ import zlib
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -199,9 +200,27 @@ def test_tokenizer_word_by_word(bpe):
     words = packing.WordTokenizer(bpe)
     odd = ["Aé ΑΣ Σας\x1cfoo\x85bar x İI", "it's don't 'Some've x'LL", "x²y ½ª µ ÿŸ É!!'s", "á ́x q᠎1", "日本 語 한국어　q 👍🏽", "", " ", "a<|startoftext|>b C"]
     r = random.Random(1)
-    odd += ["".join(r.choice("ab'sTl1²é ß.,!\n  _") for _ in range(40)) for _ in range(300)]
-    for text in odd:
-        assert words.encode([text])[0] == np.array(words.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    odd += ["".join(r.choice("ab'sTlredvem1²é ß.,!×\n  _ ") for _ in range(60)) for _ in range(2000)]
+    odd += ["".join(r.choice("'sÉ日Σ\u0301\u2009\u3000 K'llñ9½a") for _ in range(30)) for _ in range(1000)] + [None, "'", "'s", "x'", "'l", "l", "'re", "'r", "e"]
+    want = [np.array(words.library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+    assert [x.tobytes() for x in words.encode(pa.array(odd))] == want
+    assert [x.tobytes() for x in words.encode(pa.array(odd, pa.large_string())[3:400])] == want[3:400]
+
+
+def test_tokenizer_forgets(bpe, monkeypatch):
+    monkeypatch.setattr(packing, "_MEMO", 40)
+    monkeypatch.setattr(packing, "_AT_ONCE", 200)
+    words, r = packing.WordTokenizer(bpe), random.Random(2)
+    texts = [" ".join(r.choice(WORDS) for _ in range(r.randint(0, 30))) for _ in range(300)]
+    assert [x.tolist() for x in words.encode(pa.array(texts))] == [words.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tokenizer_refuses_other_steps(bpe, tmp_path):
+    other = tmp_path / "other.json"
+    with open(bpe) as f:
+        other.write_text(f.read().replace('"NFC"', '"NFKC"', 1))
+    with pytest.raises(ValueError):
+        packing.WordTokenizer(str(other))
 
 
 @pytest.fixture(scope="module")
