@@ -8,16 +8,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from columnade.llm.common import batch, bounded_sample, map_batches
+from columnade.llm.common import batch, map_batches
 
 #: Runs of word characters without decimal digits: letters, and numbers such as superscripts and fractions.
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 400_000
 _START, _END = 1, 2
 _BITS = 21
+#: Of the way from a language's own cross-entropy to that of foreign texts, the part that a text may stray; with deviations on top.
+_STRAY, _DEVIATIONS = 0.4, 4.0
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_()), ("cross_entropy", pa.float64())])
 
 
@@ -52,19 +54,33 @@ def _codes(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[keep], sizes - (order - 1)
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+def _hash(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash that no two n-grams share: every step can be undone."""
+    with np.errstate(over="ignore"):
+        x = codes.astype(np.int64).view(np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _find(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of n-grams in a sorted array of hashes, and whether they are in it."""
+    wanted = _hash(wanted)
+    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+    return at, hashes[at] == wanted
 
 
 @dataclass
 class Models:
-    """One model per language over shared sorted arrays of n-grams and contexts.
-
-    grams[n] are the n-grams that occur, alpha[n] their discounted share under
-    each language; contexts[n] the contexts of order n, gamma[n] what each
-    leaves to the next lower order. seen is alpha and gamma worked out for
-    every n-gram of full order: -log p under each language.
+    """One model per language over shared sorted arrays of hashed n-grams and contexts.
+
+    grams[n] are the hashes of the n-grams that occur, alpha[n] their
+    discounted share under each language; contexts[n] the hashed contexts of
+    order n, gamma[n] what each leaves to the next lower order. seen is alpha
+    and gamma worked out for every n-gram of full order: -log p under each
+    language. mean is each language's own cross-entropy; stray, spread and
+    spread_char (the part that falls with the length) say how far above it a
+    text may lie.
     """
 
     langs: list[str]
@@ -76,8 +92,9 @@ class Models:
     seen: np.ndarray
     floor: float
     mean: np.ndarray
-    spread: np.ndarray
-    spread_char: np.ndarray
+    stray: float
+    spread: float
+    spread_char: float
     scale: float
 
     def losses(self, grams: np.ndarray) -> np.ndarray:
@@ -113,19 +130,28 @@ def _share(grams: np.ndarray, counts: np.ndarray, discount: float):
 
 
 def train(rows: list[tuple[str, str, int]], order: int = 3, discount: float = 0.75) -> Models:
-    """Models from (language, word, count); calibration is set by :func:`calibrate`."""
+    """Models from (language, word, count); calibration is set by :func:`calibrate`.
+
+    An n-gram is one 63-bit integer before it is hashed, so ``order`` is 3 at most.
+    """
+    if not 1 <= order * _BITS <= 63:
+        raise ValueError("order must be 1, 2 or 3")
     langs = sorted({r[0] for r in rows})
     if not langs:
-        return Models([], order, [], [], [], [], np.zeros((0, 0)), 1.0, np.zeros(0), np.ones(0), np.ones(0), 1.0)
+        return Models([], order, [], [], [], [], np.zeros((0, 0)), 1.0, np.zeros(0), np.inf, 0.0, 0.0, 1.0)
+    number = {lang: k for k, lang in enumerate(langs)}
     grams, sizes = _codes([r[1] for r in rows], order)
-    who = np.repeat(np.array([langs.index(r[0]) for r in rows]), sizes)
+    who = np.repeat(np.array([number[r[0]] for r in rows]), sizes)
     times = np.repeat(np.array([r[2] for r in rows], float), sizes)
     keys, at = np.unique(grams, return_inverse=True)
     counts = np.zeros((len(keys), len(langs)))
     np.add.at(counts, (at, who), times)
+    top = keys
     found = []
     for n in range(order, 0, -1):
-        found.append((keys, *_share(keys, counts, discount)))
+        alpha, contexts, gamma = _share(keys, counts, discount)
+        here, there = np.argsort(_hash(keys)), np.argsort(_hash(contexts))
+        found.append((_hash(keys)[here], alpha[here], _hash(contexts)[there], gamma[there]))
         # continuation counts: in how many contexts does the shorter n-gram follow a different character
         shorter, at = np.unique(keys & np.int64((1 << (_BITS * (n - 1))) - 1), return_inverse=True)
         lower = np.zeros((len(shorter), len(langs)))
@@ -133,8 +159,8 @@ def train(rows: list[tuple[str, str, int]], order: int = 3, discount: float = 0.
         keys, counts = shorter, lower
     found.reverse()
     alphabet = len(found[0][0]) + 1
-    m = Models(langs, order, [f[0] for f in found], [f[1] for f in found], [f[2] for f in found], [f[3] for f in found], np.zeros((0, 0)), 1.0 / alphabet, np.zeros(len(langs)), np.ones(len(langs)), np.ones(len(langs)), 1.0)
-    m.seen = m._worked_out(m.grams[-1]).astype(np.float32)
+    m = Models(langs, order, [f[0] for f in found], [f[1] for f in found], [f[2] for f in found], [f[3] for f in found], np.zeros((0, 0)), 1.0 / alphabet, np.full(len(langs), np.inf), 0.0, 0.0, 0.0, 1.0)
+    m.seen = m._worked_out(top[np.argsort(_hash(top))]).astype(np.float32)
     return m
 
 
@@ -189,59 +215,101 @@ class Scorer:
         weight = np.exp(-m.scale * np.sqrt(np.maximum(size, 1))[:, None] * (loss - low[:, None]))
         none = size == 0
         score = np.where(none, 0.0, 1.0 / weight.sum(1))
-        limit = m.mean[best] + 8 * np.sqrt(m.spread[best] ** 2 + m.spread_char[best] ** 2 / np.maximum(size, 1))
+        limit = m.mean[best] + m.stray + _DEVIATIONS * np.sqrt(m.spread**2 + m.spread_char**2 / np.maximum(size, 1))
         return ["und" if n else m.langs[b] for n, b in zip(none, best, strict=True)], score, none | (low > limit), np.where(none, 0.0, low)
 
 
-def calibrate(models: Models, rows: list[tuple[str, str]]) -> Models:
-    """Set the limits of rejection from (language, text) rows that the models have not seen.
+def calibrate(models: Models, langs: list[str], loss: np.ndarray, size: np.ndarray) -> Models:
+    """Set the limits of rejection from texts that the models have not seen: their languages, cross-entropies and sizes.
 
-    A text is rejected when its cross-entropy lies eight standard deviations
-    above the mean of its language. The deviation is common to all languages;
-    it has a part between documents and a part that falls with the root of the
-    length (from the median, which a few odd documents do not move). Languages
-    without such rows reject nothing.
+    Foreign texts are learned from too: of each text, how far the best model
+    of the other languages lies above what that language's own texts cost. A
+    text is rejected that strays from its language by ``_STRAY`` of the median
+    of this and by ``_DEVIATIONS`` standard deviations more. The deviation is
+    common to all languages; it has a part between documents (of the longer
+    half) and one that falls with the root of the length, both from medians,
+    which a few odd documents do not move. With one language, a foreign text
+    is one of letters drawn evenly. Languages without such texts reject
+    nothing.
     """
-    scorer = Scorer(models)
-    offs, sizes = [], []
-    for k, lang in enumerate(models.langs):
-        loss, size = scorer.score([t for found, t in rows if found == lang])
-        own = loss[size > 0, k]
-        models.mean[k] = own.mean() if len(own) else np.inf
-        offs.append(own - models.mean[k])
-        sizes.append(size[size > 0])
-    off, size = np.concatenate([np.zeros(0), *offs]), np.concatenate([np.zeros(0), *sizes])
-    if len(off):
-        models.spread[:] = max(0.25, float(off[size >= np.median(size)].std()))
-        models.spread_char[:] = max(2.0, 1.4826 * float(np.median(np.abs(off) * np.sqrt(size))))
+    who = np.array([models.langs.index(x) if x in models.langs else -1 for x in langs], np.int64)
+    use = (who >= 0) & (size > 0)
+    who, loss, size = who[use], loss[use], size[use]
+    for k in range(len(models.langs)):
+        own = loss[who == k, k]
+        models.mean[k] = np.median(own) if len(own) else np.inf
+    if not len(who):
+        return models
+    off = np.abs(loss[np.arange(len(who)), who] - models.mean[who])
+    models.spread = 1.4826 * float(np.median(off[size >= np.median(size)]))
+    models.spread_char = 1.4826 * float(np.median(off * np.sqrt(size)))
+    excess = loss - np.where(np.isfinite(models.mean), models.mean, -np.inf)
+    excess[np.arange(len(who)), who] = np.inf
+    foreign = excess.min(1)
+    foreign = foreign[np.isfinite(foreign)]
+    even = max(0.0, -float(np.log(models.floor)) - float(models.mean[np.isfinite(models.mean)].mean()))
+    models.stray = _STRAY * float(np.median(foreign) if len(foreign) else even)
     return models
 
 
-def fit(docs: DataFrame, per_language: int = 400, order: int = 3) -> Models:
-    """Learn from at most ``per_language`` documents of each value of ``lang``, chosen by a hash of doc_id.
+def _chosen(docs: DataFrame, per_language: int, most_languages: int) -> DataFrame:
+    """``doc_id, lang, text`` of at most ``per_language`` different rows of each language, by a hash of doc_id and lang.
 
-    A quarter of them (another hash) sets the limits of rejection only. Word
-    counts are made on the executors; what reaches the driver is bounded by
-    the sample. Rows with a null lang, text or doc_id teach nothing.
+    First go those whose hash lies above a share that leaves about four times
+    as many, so that ranking moves few rows, however many a language has.
+    """
+    part = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 40)) / float(1 << 40)
+    rows = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "lang")).alias("size")).limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, (4.0 * per_language + 100) / max(1, r.size)))]) if sizes else F.lit(None).cast("map<string,double>")
+    some = rows.where(part < F.element_at(share, F.col("lang"))).select("doc_id", "lang", F.xxhash64("text").alias("t")).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id", "t"))
+    best = some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang", "t")
+    met = rows.withColumn("t", F.xxhash64("text")).join(F.broadcast(best), ["doc_id", "lang", "t"])
+    return met.groupBy("doc_id", "lang", "t").agg(F.first("text").alias("text")).select("doc_id", "lang", "text")
+
+
+def fit(docs: DataFrame, per_language: int = 400, order: int = 3, most_languages: int = 500) -> Models:
+    """Learn from at most ``per_language`` different rows (doc_id, lang, text) of each value of ``lang``, chosen by a hash.
+
+    A quarter of them (another hash) sets the limits of rejection only. Words
+    are counted and those texts are scored on the executors; what reaches the
+    driver is the words of the sample and a row of numbers for each scored
+    text. Rows with a null lang, text or doc_id teach nothing; repeated rows
+    teach once; of rows that share a doc_id each teaches its own lang; no row
+    gives a model without languages; more than ``most_languages`` values of
+    lang are refused.
     """
-    chosen = bounded_sample(docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang").distinct(), "doc_id", per_language, by="lang")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("text", pa.string())])
+    texts = _chosen(docs, per_language, most_languages)
+    aside = F.pmod(F.crc32(F.concat(F.lit("calibrate "), F.col("doc_id").cast("string")).cast("binary")), F.lit(4)) == 0
+    words = pa.schema([("lang", pa.string()), ("word", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found = words_of(text.as_py())
+                for i in range(0, len(found), 100_000):
+                    part = found[i : i + 100_000]
+                    yield batch(words, [lang] * len(part), part)
+
+    counts = map_batches(texts.where(~aside).select("lang", "text"), spell, "lang string, word string").groupBy("lang", "word").count().toArrow()
+    models = train(sorted(zip(*(c.to_pylist() for c in counts.columns), strict=True)), order)
+    if not models.langs:
+        return models
+    held = docs.sparkSession.sparkContext.broadcast(models)
+    scored = pa.schema([("lang", pa.string()), ("loss", pa.list_(pa.float64())), ("size", pa.float64())])
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
         for b in batches:
-            for doc_id, lang, text in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("doc_id", "lang", "text")), strict=True):
-                if zlib.crc32(b"calibrate %d" % doc_id) % 4 == 0:
-                    yield batch(schema, [lang], [None], [text])
-                elif words := words_of(text):
-                    yield batch(schema, [lang] * len(words), words, [None] * len(words))
+            for i in range(0, b.num_rows, 256):
+                loss, size = scorer.score(b.column(1).slice(i, 256).to_pylist())
+                yield batch(scored, b.column(0).slice(i, 256), list(loss), size)
 
-    rows = map_batches(texts, run, "lang string, word string, text string")
-    found = rows.groupBy("lang", "word", "text").agg(F.count("*").alias("n")).collect()
-    models = train(sorted((r.lang, r.word, r.n) for r in found if r.word is not None), order)
-    return calibrate(models, [(r.lang, r.text) for r in found if r.word is None for _ in range(r.n)])
+    rows = map_batches(texts.where(aside).select("lang", "text"), score, "lang string, loss array<double>, size double").collect()
+    return calibrate(models, [r.lang for r in rows], np.array([r.loss for r in rows]).reshape(len(rows), len(models.langs)), np.array([r.size for r in rows], float))
 
 
 def predict(docs: DataFrame, models: Models) -> DataFrame:
@@ -270,7 +338,11 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, models: Models) -> DataFrame:
-    """The rows of ``docs`` (all columns) that are not rejected."""
+    """The rows of ``docs`` (all columns, in any number and of any name but a second ``text``) that are not rejected.
+
+    Null and empty texts and those without a letter go; so do all where no
+    language was learned. Repeated rows stay or go together; no rows give none.
+    """
     held = docs.sparkSession.sparkContext.broadcast(models)
     at = docs.columns.index("text")
 

@@ -267,6 +267,92 @@ def test_kneser_ney_sums_to_one():
         assert np.allclose(p.sum(0) + np.exp(-models.losses(end[-1:])[0]) + np.exp(-models.losses(unknown[-2:-1])[0]), 1, atol=1e-3)
 
 
+def kneser_ney_by_hand(rows, discount=0.75):
+    """-log p of the last character of each n-gram of a word, by the textbook: nested dictionaries, one language."""
+    counts = [{}, {}, {}]
+    for word, times in rows:
+        chars = ["<", "<", *word, ">"]
+        for i in range(2, len(chars)):
+            head, c = tuple(chars[i - 2 : i]), chars[i]
+            counts[2].setdefault(head, {})[c] = counts[2].get(head, {}).get(c, 0) + times
+    for n in (2, 1):
+        for head, after in counts[n].items():
+            for c in after:
+                lower = counts[n - 1].setdefault(head[1:], {})
+                lower[c] = lower.get(c, 0) + 1
+    size = len(counts[0][()]) + 1
+
+    def p(head, c):
+        rest = 1 / size if not head else p(head[1:], c)
+        after = counts[len(head)].get(head)
+        if not after:
+            return rest
+        total = sum(after.values())
+        return max(after.get(c, 0) - discount, 0) / total + discount * len(after) / total * rest
+
+    return lambda word: -sum(math.log(p(tuple(["<", "<", *word, ">"][i - 2 : i]), ["<", "<", *word, ">"][i])) for i in range(2, len(word) + 3))
+
+
+def test_kneser_ney_by_the_textbook():
+    rows = {"aa": [("banana", 3), ("band", 1), ("an", 2)], "bb": [("cabin", 2), ("abba", 5), ("nab", 1)]}
+    models = language.train([(k, w, n) for k, v in rows.items() for w, n in v])
+    # the alphabet is that of all languages: teach each hand-made model the size it has there
+    letters = {c for v in rows.values() for w, _ in v for c in w} | {">"}
+    for k, lang in enumerate(models.langs):
+        hand = kneser_ney_by_hand(rows[lang])
+        own = {c for w, _ in rows[lang] for c in w} | {">"}
+        for word in ("banana", "band", "abba", "nan", "bad"):
+            grams, _ = language._codes([word], 3)
+            got = float(models.losses(grams)[:, k].sum())
+            if own == letters:
+                assert math.isclose(got, hand(word), rel_tol=1e-5)
+    one = language.train([("aa", w, n) for v in rows.values() for w, n in v])
+    hand = kneser_ney_by_hand([x for v in rows.values() for x in v])
+    for word in ("banana", "band", "abba", "nan", "cab", "xyz", "q"):
+        grams, _ = language._codes([word], 3)
+        assert math.isclose(float(one.losses(grams)[:, 0].sum()), hand(word), rel_tol=1e-5), word
+
+
+def test_language_order_is_bounded():
+    with pytest.raises(ValueError):
+        language.train([("aa", "word", 1)], order=4)
+
+
+FOREIGN = [
+    "Det är en vacker dag i dag och jag tänker gå ut och promenera i skogen med min hund innan solen går ner bakom bergen",
+    "Jesteśmy bardzo zadowoleni z wyników naszej pracy i chcielibyśmy podziękować wszystkim za pomoc w tym roku",
+    "Kami pergi ke pasar untuk membeli sayur dan buah segar setiap pagi hari minggu bersama keluarga",
+    "zxcv qwrt plmk bnvc xzqw kjhg wqpz mnbv lkjh zzxq wvbn hjkl qqpw mznx", "xkcdq zzyq vvwkx jjqh xkq zpt qqvbn wxzt kpq jvx xxq zzt",
+    "한국어 문장 하나 더 있습니다 그리고 또", "日本語の文章がここに書かれていますので読んでください",
+]
+
+
+def test_language_rejection(spark, sf_dir):
+    """Foreign and junk texts are rejected, also after half a text of a learned language; what is of the learned languages stays."""
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    models = language.fit(docs)
+    assert 0.1 < models.stray < 2 and 0 < models.spread < 0.2 and 0 < models.spread_char < 3
+    known = [r.text for r in docs.where("length(text) > 200").orderBy("doc_id").limit(40).collect()]
+    mixed = [f"{t[:120]} {f} {f[:40]}" for t, f in zip(known, FOREIGN[:3] * 8, strict=False)]
+    scorer = language.Scorer(models)
+    assert scorer.decide(FOREIGN)[2].all() and scorer.decide(mixed)[2].mean() >= 0.9
+    kept = ~scorer.decide([r.text for r in docs.collect()])[2]
+    assert kept.mean() >= 0.995
+
+
+def test_language_learns_from_rows(spark):
+    """Rows without a language teach nothing, and each row of an id teaches its own language."""
+    rows = [(1, "banana band", "aa"), (1, "cabin abba", "bb"), (1, "qqqq xxxx", None), (2, None, "aa"), (None, "zzzz", "aa")] + [(3 + i, w, "aa") for i, w in enumerate(["banana", "nab"] * 4)] * 2
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, t string")
+    words = {r.lang: set() for r in docs.where("lang is not null").collect()}
+    models = language.fit(docs, per_language=100)
+    assert models.langs and set(models.langs) <= set(words)
+    q, _ = language._codes(["q"], 3)
+    assert not language._find(models.grams[0], q[:1] & ((1 << 21) - 1))[1].any()
+    with pytest.raises(ValueError):
+        language.fit(docs, most_languages=1)
+
+
 def test_language_query(spark, sf_dir):
     got = {r.doc_id: r for r in registry.op6_language_id(spark, sf_dir).collect()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
