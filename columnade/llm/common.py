@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import logging
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches hold at most so many rows and bytes; a batch always holds one row at least.
 BATCH_ROWS = 2048
 BATCH_BYTES = 24 << 20
+_LOG = logging.getLogger(__name__)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches of this session, so that very long texts cannot fill a Python worker."""
+    """Bound the Arrow batches of this session, so that very long texts cannot fill a Python worker.
+
+    This lowers two settings of the caller's session and leaves them so: plans are lazy, and read them when they run.
+    """
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
         try:
@@ -34,27 +41,30 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_own_dirs: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session or its context.
+
+    Where it is unset, a local[...] session gets a folder of its own, for
+    there all tasks are this process; on a cluster that would lose rows, so it
+    is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="columnade-")
-    return f"file://{_own_dirs[app]}"
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='columnade-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def _remove(session, path: str) -> None:
+    if session.sparkContext._jsc is None:  # the session has ended: the folder's owner clears it
+        return
     try:
-        jvm = session.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
+        where = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended: the folder's owner clears it
-        pass
+    except (Py4JError, OSError) as e:  # tidying up fails no query, but a store that fills up should be seen
+        _LOG.warning("%s was not deleted: %s", path, e)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -88,18 +98,9 @@ def fold(doc_id: str, modulus: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, by: str | None = None) -> DataFrame:
-    """At most ``rows`` keys (of each value of ``by``), chosen by a hash of the key alone, so the same at every layout."""
-    from pyspark.sql import Window
-
-    order = [F.xxhash64(F.col(key)), F.col(key)]
-    if by is None:
-        return df.orderBy(*order).limit(rows)
-    # first within parts of each value, so that a value of very many rows is not one task's
-    for parts in ([by, F.pmod(order[0], F.lit(16))], [by]):
-        rank = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
-        df = df.withColumn("__rank", rank).where(F.col("__rank") <= rows).drop("__rank")
-    return df
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows, chosen by a hash of the key alone, so the same at every layout."""
+    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

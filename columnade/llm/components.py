@@ -59,9 +59,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     component_id is the smallest node reachable. Each round contracts the links
     that lie in one task to stars, then hangs every neighbour of a node on the
     smallest one (first the larger neighbours, then the rest). A node with very
-    many links is a row of partial minima and a join that Spark can split; no
-    task or driver ever needs a whole component. An empty table gives an empty
-    table; links of a node with itself are ignored, repeated links count once.
+    many links is a row of partial minima and a join that Spark can split; the
+    links of one star go to as many tasks as there are millions of links
+    (``_HELD``), so no task or driver ever needs a whole component. An empty
+    table gives an empty table; links of a node with itself are ignored,
+    repeated links count once.
     """
     ordered = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = written(map_batches(ordered.distinct(), _contract_batches, "u long, v long"), "links")
@@ -77,7 +79,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = larger.groupBy("u").agg(F.min("v").alias("m"))
         hung = larger.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        last, now = now, written(map_batches(stars.repartition("v"), _contract_batches, "u long, v long").distinct(), "links")
+        last, now = now, written(map_batches(stars.repartition("v", F.pmod(F.xxhash64("u"), F.lit(1 + mark[0] // _HELD))), _contract_batches, "u long, v long").distinct(), "links")
         discard(last)
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component_id")).unionByName(roots.select("node", F.col("node").alias("component_id")))

@@ -92,14 +92,20 @@ class Neighbours:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Share of label 1 among the nearest labelled vectors, by a weight that grows with the cosine."""
+        """Share of label 1 among the nearest labelled vectors, by a weight that grows with the cosine.
+
+        Labelled vectors as near as the last of the k nearest all vote, so that
+        ties need no order.
+        """
         if not len(self.labels):
             return np.full(len(x), self.prior)
         cos = x @ self.vectors.T
         k = min(self.k, cos.shape[1])
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cos, near, 1), 0.0).astype(np.float64) ** 8
-        return ((weight * self.labels[near]).sum(1) + 0.05 * self.prior) / (weight.sum(1) + 0.05)
+        last = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k]
+        row, near = np.nonzero(cos >= last[:, None])
+        weight = np.maximum(cos[row, near], 0.0).astype(np.float64) ** 8
+        good, all_ = (np.bincount(row, w, len(x)) for w in (weight * self.labels[near], weight))
+        return (good + 0.05 * self.prior) / (all_ + 0.05)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, dims: int = 64, k: int = 15) -> Neighbours:
@@ -146,7 +152,7 @@ def predict(docs: DataFrame, model: Neighbours, threshold: float = 0.3) -> DataF
 
     Cosines with every labelled vector are exact and made block by block. A
     null or empty text has the zero vector, and so the labelled rows' share of
-    label 1. Repeated rows give repeated rows; a null doc_id stays null; no
+    label 1. Neighbours that tie with the last of the nearest vote too. Repeated rows give repeated rows; a null doc_id stays null; no
     rows give no rows; other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -164,7 +170,11 @@ def predict(docs: DataFrame, model: Neighbours, threshold: float = 0.3) -> DataF
 
 
 def keep_good(docs: DataFrame, model: Neighbours, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose text scores ``threshold`` or more."""
+    """The rows of ``docs`` (all columns, of any name but a second ``text``) whose text scores ``threshold`` or more.
+
+    Null and empty texts score the labelled rows' share of label 1. Repeated
+    rows stay or go together; no rows give no rows.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from columnade.llm.common import batch, map_batches, written
@@ -20,6 +21,8 @@ _SWEEP = 16
 #: Larger groups than this are first cut by the other half's variants.
 _DIRECT = 4096
 _PART = 1 << 16
+#: A half that more different fingerprints share has its variants cut further, over tasks.
+_HOT = 1 << 15
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -107,8 +110,9 @@ def _link_group(values: np.ndarray, ids: np.ndarray, key: int, out: list) -> Non
                     _bfs(values[group], ids[group], key, out)
 
 
-def _sweep(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Links of rows that are sorted by key and hold whole groups."""
+def _sweep(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """Links (pairs of fingerprints) of rows that are sorted by key and hold whole groups."""
+    ids = fps.view(np.int64)
     out: list[np.ndarray] = []
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
@@ -130,19 +134,41 @@ def _sweep(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [np.zeros(0, np.int64)] * 3
+    held = [np.zeros(0, np.int64)] * 2
     for b in batches:
         held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns, strict=True)]
         if len(held[0]) < 200_000:
             continue
         whole = np.searchsorted(held[0], held[0][-1])  # the last group may go on in the next batch
         if whole:
-            u, v = _sweep(held[0][:whole], held[1][:whole].view(np.uint64), held[2][:whole])
-            yield batch(_LINK, u, v)
+            yield batch(_LINK, *_sweep(held[0][:whole], held[1][:whole].view(np.uint64)))
             held = [h[whole:] for h in held]
     if len(held[0]):
-        u, v = _sweep(held[0], held[1].view(np.uint64), held[2])
-        yield batch(_LINK, u, v)
+        yield batch(_LINK, *_sweep(held[0], held[1].view(np.uint64)))
+
+
+def _hot_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows (key, part, fp) that are sorted by key and part."""
+
+    def linked(key: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        values, out = np.concatenate(parts), []
+        _bfs(values.view(np.uint64), values, key >> 32, out)
+        if out:
+            yield batch(_LINK, *np.concatenate(out, axis=1))
+
+    last, held = None, []
+    for b in batches:
+        key, part, fp = (c.to_numpy() for c in b.columns)
+        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0)) + 1
+        for i, j in pairwise([0, *cuts.tolist(), b.num_rows]):
+            here = (int(key[i]), int(part[i])) if i < j else last
+            if here != last and held:
+                yield from linked(last[0], held)
+                held = []
+            last = here
+            held.append(fp[i:j])
+    if held:
+        yield from linked(last[0], held)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,32 +176,71 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), _fingerprints, "doc_id long, fp long")
 
 
+def _halves(fp: Column) -> tuple[Column, Column]:
+    return F.shiftrightunsigned(fp, 32), fp.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _without(value: Column, bit: Column) -> Column:
+    return value.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), bit)))
+
+
+def _variant(k: Column, half: Column) -> Column:
+    """Variant k (0 to 63) of a fingerprint as one number: k and the high (k < 32) or low half without bit k mod 32."""
+    return F.shiftleft(k.cast("long"), 32).bitwiseOR(_without(half, k % 32))
+
+
+def fingerprint_components(nodes: DataFrame, hot: int = _HOT) -> DataFrame:
+    """``fp, component`` (its smallest fingerprint, as a signed long) of every different ``fp`` of ``nodes`` that links with another.
+
+    A variant holds the fingerprints of two values of a half. Where a value is
+    shared by more than ``hot`` of them, its variants are cut once more, by the
+    32 one-wildcard variants of the other half's quarters, of which every link
+    has one in common; so no task takes a whole hot variant.
+    """
+    high, low = _halves(F.col("fp"))
+    values = nodes.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("first"), high.alias("half")), F.struct(F.lit(32).alias("first"), low.alias("half")))).alias("v"))
+    crowded = values.groupBy("v").count().where(F.col("count") > hot).select("v.first", "v.half")
+    crowded = written(crowded.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: _variant(F.col("first") + i, F.col("half")))).alias("key")).distinct(), "hot-variants")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: _variant(k, F.when(k < 32, high).otherwise(low)))
+    index = nodes.select(F.explode(keys).alias("key"), "fp")
+    if crowded.isEmpty():
+        return _joined(map_batches(index.repartition("key").sortWithinPartitions("key"), _links, "u long, v long"))
+    cold = index.join(crowded, "key", "left_anti")
+    links = map_batches(cold.repartition("key").sortWithinPartitions("key"), _links, "u long, v long")
+    other = F.when(F.shiftright("key", 32) < 32, low).otherwise(high)
+    quarter = lambda i: F.when(i < 16, other.bitwiseAND(F.lit(0xFFFF))).otherwise(F.shiftright(other, 16))
+    part = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.shiftleft(i.cast("long"), 16).bitwiseOR(_without(quarter(i), i % 16)))
+    cut = index.join(crowded, "key", "left_semi").select("key", F.explode(part).alias("part"), "fp")
+    hot_links = map_batches(cut.repartition("key", "part").sortWithinPartitions("key", "part"), _hot_links, "u long, v long")
+    return _joined(links.unionByName(hot_links))
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    return connected_components(links).select(F.col("node").alias("fp"), F.col("component_id").alias("component"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``.
 
     Fingerprints link at three or fewer differing bits. A fingerprint is cut
     into two halves, of which one differs in at most one bit in any link; each
     half is indexed under its 32 variants with one bit left out, rows are
-    joined on equal variants and verified. Equal fingerprints are one node
-    (its smallest doc_id), so copies never meet in a group; groups of any size
-    give a spanning forest, never all their pairs.
+    joined on equal variants and verified. Equal fingerprints are one node, so
+    copies never meet in a group; groups of any size give a spanning forest,
+    never all their pairs.
 
     Null and empty texts have fingerprint zero and link like any other; a null
-    doc_id stays a row of its own fingerprint's component and is never its
-    smallest id; rows that share a doc_id are kept apart; no rows give no rows;
-    other columns of ``docs`` are not read.
+    doc_id stays a row of its own fingerprint's component, makes no links and
+    is never its smallest id; rows that share a doc_id are kept apart, each
+    with the component of its own fingerprint; no rows give no rows; other
+    columns of ``docs`` are not read.
     """
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-nodes")
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned("fp", 32)
-    variant = lambda k, half, bit: (F.shiftleft(k.cast("long"), 32)).bitwiseOR(half.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), bit))))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: variant(k, F.when(k < 32, high).otherwise(low), k % 32))
-    index = nodes.where("rep is not null").select(F.explode(keys).alias("key"), "fp", "rep")
-    links = map_batches(index.repartition("key").sortWithinPartitions("key"), _links, "u long, v long")
-    found = connected_components(links)
-    named = written(nodes.join(found, nodes.rep == found.node, "left").select(F.col("fp"), F.coalesce("component_id", "rep").alias("component_id")), "fingerprint-components")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    found = fingerprint_components(nodes.where("rep is not null").select("fp"))
+    known = written(nodes.join(found, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "fingerprint-components")
+    least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return prints.join(known.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,6 +249,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (columns as given) whose doc_id is the smallest of its component; rows without an id stay."""
-    kept = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` (columns as given) whose doc_id is the smallest of its component.
+
+    Rows that share a doc_id stay or go together: they stay where the id is
+    the smallest of the component of any of their texts. Rows without an id
+    stay; no rows give no rows.
+    """
+    found = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

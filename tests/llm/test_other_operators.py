@@ -102,6 +102,14 @@ def test_impact_index_proves_its_stop():
             assert [(-int(s), int(i)) for i, s in zip(got, score, strict=True)] == best
 
 
+def test_top_k_of_huge_components_and_repeated_queries(spark):
+    with pytest.raises(ValueError):
+        topk.top_k(vectors_of(spark, [(0, [1e30, 1.0], 1), (1, [2.0, 1.0], 1)]))
+    rows = [(0, [3.0, 1.0], 1), (0, [1.0, 2.0], 1), (1, [2.0, 0.0], 1), (1, [0.0, 2.0], 1), (2, [1e6, -1e6], 1)]
+    got = [(r.query_id, r.vec_id, r.score) for r in topk.top_k(vectors_of(spark, rows)).orderBy("rank").collect()]
+    assert got == [(0, 1, 262144), (0, 1, 131072), (0, 2, -(256 * 256 * 10**6))]
+
+
 def test_empty_vectors(spark):
     none = vectors_of(spark, [])
     assert embeddings.near_duplicates(none).count() == topk.top_k(none).count() == 0

@@ -137,6 +137,28 @@ def test_simhash_large_groups():
     assert components_by_hand(zip(u.tolist(), v.tolist(), strict=True), ids.tolist()) == components_by_hand(links, ids.tolist())
 
 
+def test_simhash_of_shared_ids(spark):
+    """Different texts under one id link as the texts do, and do not link what their id alone has in common."""
+    base = [f"{LONG[k * 9000 : k * 9000 + 6000]}" for k in range(3)]
+    rows = [(5, base[0]), (5, base[1]), (6, f"{base[0]} z"), (3, f"{base[1]} z"), (9, base[2]), (4, base[2]), (9, base[2])]
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs_of(spark, rows)).collect())
+    assert got == [(3, 3), (4, 4), (5, 3), (5, 5), (6, 5), (9, 4), (9, 4)]
+
+
+@pytest.mark.parametrize("hot", [1 << 15, 40])
+def test_simhash_huge_variant_group(spark, hot):
+    """Fingerprints that share a half, by way of one task and cut over tasks."""
+    r = np.random.default_rng(2)
+    flips = np.zeros(700, np.uint64)
+    for _ in range(4):
+        flips ^= np.uint64(1) << r.integers(0, 32, 700).astype(np.uint64)
+    values = np.unique(np.concatenate([r.integers(0, 1 << 63, dtype=np.uint64) ^ flips, r.integers(0, 1 << 63, 300, dtype=np.uint64), np.arange(40, dtype=np.uint64) << np.uint64(40)])).view(np.int64)
+    got = {x.fp: x.component for x in simhash.fingerprint_components(spark.createDataFrame([(v,) for v in values.tolist()], "fp long").repartition(3), hot).collect()}
+    bits = values.view(np.uint64)
+    links = [(int(values[a]), int(values[a + 1 + b])) for a in range(len(values)) for b in np.flatnonzero(np.bitwise_count(bits[a + 1 :] ^ bits[a]) <= 3).tolist()]
+    assert got == {n: c for n, c in components_by_hand(links, values.tolist()).items() if n in {x for link in links for x in link}}
+
+
 def test_keep_one(spark):
     kept = simhash.keep_one(docs_of(spark, HARD, ("fp", "rep")))
     ids = [r.doc_id for r in kept.collect()]
@@ -402,6 +424,22 @@ def test_score_is_a_share():
     assert math.isclose(quality.Neighbours(np.ones(1), np.ones((1, 1)), np.ones((2, 1)), np.array([1.0, 0.0]), 0.5, 2).score(np.ones((1, 1)))[0], 0.5)
 
 
+def test_votes_like_brute_force():
+    """Plain k nearest neighbours, ties at the last place included."""
+    r = np.random.default_rng(8)
+    vectors = r.integers(-2, 3, (60, 3)).astype(float)
+    vectors = vectors[np.linalg.norm(vectors, axis=1) > 0]
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    labels = r.integers(0, 2, len(vectors)).astype(float)
+    asked = np.concatenate([vectors[:20], np.zeros((1, 3))])
+    got = quality.Neighbours(np.ones(1), np.ones((1, 1)), vectors, labels, 0.4, 5).score(asked)
+    for x, score in zip(asked, got, strict=True):
+        cos = [float(c) for c in vectors @ x]
+        last = sorted(cos, reverse=True)[4]
+        votes = [(max(c, 0) ** 8, y) for c, y in zip(cos, labels, strict=True) if c >= last - 1e-12]
+        assert math.isclose(score, (sum(w * y for w, y in votes) + 0.05 * 0.4) / (sum(w for w, _ in votes) + 0.05), rel_tol=1e-9)
+
+
 def test_shape_of_a_word_is_whole():
     a, b = quality._terms([b"a-" * 20 + b"a", b"a-" * 20 + b"7"])
     assert a[1] != b[1]
