@@ -7,18 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from columnade.llm.common import batch, map_batches, written
+from columnade.llm.hashing import rolled, word_hashes
 
 #: Difference covers: of any two positions, some shift below the period puts both on the cover.
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 #: A task dedups so many anchors or windows in memory before it sends them.
 _HELD = 3_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 _SENT = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("data", pa.binary())])
 _SPOT = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32())])
@@ -30,25 +28,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def _word_hashes(words: list[bytes], seed: int) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w, seed) for w in words), np.uint64, len(words)) if seed else np.fromiter(map(digest, words), np.uint64, len(words))
-
-
-def _rolled(h: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``width`` consecutive words."""
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        out = np.zeros(n, np.uint64)
-        for j in range(width):
-            out = out * _BASE + h[j : j + n]
-        out ^= out >> np.uint64(31)
-        out *= _MIX
-        return out ^ (out >> np.uint64(29))
-
-
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     """The cover that needs the fewest anchors and leaves them at least a third of the window long."""
     period = max([p for p in COVERS if window - p + 1 >= max(1, window // 3)], default=0)
@@ -155,10 +134,10 @@ def _anchor_batches(window: int, buckets: int):
                 words = [] if copy else words_of(text.as_py())
                 if len(words) < window:
                     continue
-                rolled = _rolled(_word_hashes(words, 0), width)
-                at = np.arange(len(rolled))
+                found = rolled(word_hashes(words, 0), width)
+                at = np.arange(len(found))
                 at = at[np.isin(at % period, cover)]
-                held.append((rolled[at], np.full(len(at), doc_id, np.int64), at))
+                held.append((found[at], np.full(len(at), doc_id, np.int64), at))
                 size += len(at)
                 if size >= _HELD:
                     yield from flush()
@@ -193,8 +172,8 @@ def _window_batches(window: int, buckets: int):
                 starts = np.flatnonzero(np.cumsum(mark)[:n] > 0)
                 if not len(starts):
                     continue
-                second = (_rolled(_word_hashes(words, 1), window)[starts] >> np.uint64(32)).astype(np.uint32)
-                held.append((_rolled(_word_hashes(words, 0), window)[starts], second, np.full(len(starts), doc_id, np.int64), starts))
+                second = (rolled(word_hashes(words, 1), window)[starts] >> np.uint64(32)).astype(np.uint32)
+                held.append((rolled(word_hashes(words, 0), window)[starts], second, np.full(len(starts), doc_id, np.int64), starts))
                 size += len(starts)
                 if size >= _HELD:
                     yield from flush()

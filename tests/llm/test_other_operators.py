@@ -223,13 +223,27 @@ def test_near_copies_like_brute_force(spark):
     texts = near_copies()
     want = brute_components(texts)
     df = spark.createDataFrame([(i, t, "s") for i, t in texts.items()] + [(None, "one two", "s")], "doc_id long, text string, sig string").repartition(3)
-    assert {r.doc_id: r.component_id for r in shingles.similar_components(df).collect()} == want
+    for together in (4_000_000, 500):  # whole groups, and groups in parts
+        assert {r.doc_id: r.component_id for r in shingles.similar_components(df, together=together).collect()} == want
     assert 30 < len(set(want.values())) < len(want) - 30
     kept = [r.doc_id for r in shingles.keep_one(df).collect()]
     assert sorted(i for i in kept if i is not None) == sorted(set(want.values())) and kept.count(None) == 1
     assert shingles.keep_one(df.where("false")).count() == 0
 
 
+def test_runs_of_one_key_end_where_sizes_do_not_fit():
+    key, n, sig = np.array([1, 1, 1, 1, 2, 2]), np.array([8, 10, 10, 13, 5, 5]), np.array([4, 3, 3, 9, 4, 3])
+    first, pairs = shingles._chained(key, n, sig, 0.8)
+    assert first.tolist() == [4, 4, 4, 9, 4, 4] and sorted(pairs.T.tolist()) == [[4, 3]]
+
+
+def test_near_copies_of_shared_ids(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [(5, a), (5, b), (7, f"{a} x"), (3, f"{b} x"), (9, "other")]
+    got = sorted((r.doc_id, r.component_id) for r in shingles.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (5, 3), (5, 5), (7, 5), (9, 9)]
+
+
 def test_pipeline_drops_near_copies(spark, sf_dir):
     texts = near_copies()
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars int")
