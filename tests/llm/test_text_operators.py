@@ -63,6 +63,19 @@ def test_substrings_shifted_by_any_amount(spark):
     assert got == removed_by_hand(rows) and sum(g[1] for g in got.values()) == 39 * 20
 
 
+def test_substrings_of_shared_ids(spark):
+    """Different texts of one id are documents of their own; repeated rows are one; nothing crashes on short ones."""
+    rows = [(5, PASSAGE), (5, "short"), (5, f"{PASSAGE} {PASSAGE}"), (6, PASSAGE), (6, PASSAGE), (7, f"new {PASSAGE}"), (8, None), (8, "x"), (8, "")]
+    got = {}
+    for r in substrings.remove_repeats(docs_of(spark, rows)).collect():
+        got.setdefault((r.doc_id, r.n_words), []).append(r.n_removed)
+    first = [got[5, 60], got[5, 120]]
+    assert first in ([[0], [120]], [[60], [60]]) and got[6, 60] == [60, 60] and got[7, 61] == [60] and got[5, 1] == [0] and sorted(got[8, 0] + got[8, 1]) == [0, 0, 0]
+    kept = substrings.cut_repeats(docs_of(spark, rows, ("__starts", "cut", "cutid", "nth")))
+    assert kept.columns == [*DOCS.names, "__starts", "cut", "cutid", "nth"]
+    assert sorted((r.doc_id, len((r.text or "").split())) for r in kept.collect()) == sorted([(5, 60), (5, 1), *[(8, 0), (8, 0), (8, 1)], (7, 1)])
+
+
 def test_covers():
     for period, cover in substrings.COVERS.items():
         for d in range(period):
