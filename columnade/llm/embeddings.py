@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from columnade.llm.common import bounded_sample, map_batches, written
 from columnade.llm.components import connected_components, contract
 
-#: Vectors of one sequence interval that is stored and joined as a whole.
-BLOCK = 1024
+#: Vectors of one sequence interval that is stored and joined as a whole, and intervals that are sent to another one together.
+BLOCK, _PARTNERS = 4096, 16
+#: Pairs of intervals are looked up by cells of at least this side on so many leading directions.
+_SIDE, _LEADING = 0.25, 3
 #: Intervals this short are compared by products; longer ones are halved first.
 _LEAF = 128
-_BLOCK_FIELDS = [("label", pa.string()), ("dims", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("sizes", pa.binary()), ("vectors", pa.binary())]
-_BLOCKS = pa.schema(_BLOCK_FIELDS)
+_BLOCKS = pa.schema([("label", pa.string()), ("dims", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("sizes", pa.binary()), ("vectors", pa.binary())])
 _FOUND = pa.schema([("kind", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -67,8 +68,10 @@ def join_blocks(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, s
         walk(0, len(a), 0, len(b), same)
 
 
-def _unit(raw: bytes, n: int) -> np.ndarray:
-    x = np.frombuffer(raw, "<f8").reshape(n, -1)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one in double precision; components of any finite size."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -80,16 +83,14 @@ def _block_batches(bases: dict[int, np.ndarray], size: int):
 
         def closed():
             label, dims = key
-            raw = np.concatenate([h[2] for h in held])
-            x = raw / np.sqrt((raw * raw).sum(1, keepdims=True))
-            p = x @ bases[dims]
-            ids, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            row = [label, dims, made, len(ids), p.min(0).tolist(), p.max(0).tolist(), ids.astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), raw.astype("<f8").tobytes()]
+            ids, sizes, raw = (np.concatenate(x) for x in zip(*held, strict=True))
+            p = _unit(raw) @ _basis(bases, dims)
+            row = [label, dims, made, len(ids), p.min(0).tolist(), p.max(0).tolist(), ids.astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), raw.tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _BLOCKS.types, strict=True)], schema=_BLOCKS)
 
         count = 0
         for b in batches:
-            col = {n: b.column(b.schema.get_field_index(n)) for n in ("label", "dims", "rep", "size", "embedding")}
+            col = {n: b.column(b.schema.get_field_index(n)) for n in ("label", "dims", "cls", "size", "embedding")}
             keys = list(zip(col["label"].to_pylist(), col["dims"].to_pylist(), strict=True))
             i = 0
             while i < len(keys):
@@ -101,7 +102,7 @@ def _block_batches(bases: dict[int, np.ndarray], size: int):
                 while j < len(keys) and keys[j] == key and count + j - i < size:
                     j += 1
                 e = col["embedding"].slice(i, j - i)
-                held.append((col["rep"].slice(i, j - i).to_numpy(), col["size"].slice(i, j - i).to_numpy(), e.flatten().to_numpy().reshape(j - i, -1)))
+                held.append((col["cls"].slice(i, j - i).to_numpy(), col["size"].slice(i, j - i).to_numpy(), e.flatten().to_numpy().reshape(j - i, -1)))
                 count += j - i
                 i = j
         if count:
@@ -110,68 +111,103 @@ def _block_batches(bases: dict[int, np.ndarray], size: int):
     return run
 
 
-def _pair_batches(bases: dict[int, np.ndarray], least: float, eps: float):
+def _basis(bases: dict[int, np.ndarray], dims: int) -> np.ndarray:
+    return bases[dims] if dims in bases else np.zeros((dims, 0))
+
+
+def _pair_batches(bases: dict[int, np.ndarray], kind: str, least: float, eps: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                a, c = _unit(r["vectors"], r["n"]), _unit(r["vectors2"], r["n2"])
-                ids, ids2 = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["ids2"], "<i8")
-                sizes, sizes2 = np.frombuffer(r["sizes"], "<i8"), np.frombuffer(r["sizes2"], "<i8")
-                same = r["block"] == r["block2"]
-                links, links2 = np.zeros(len(ids), np.int64), np.zeros(len(ids2), np.int64)
-                forest: list[np.ndarray] = []
-
-                def hit(i, j):
-                    np.add.at(links, i, sizes2[j])
-                    np.add.at(links2, j, sizes[i])
-                    forest.append(np.stack(contract(ids[i], ids2[j])))  # noqa: B023
-
-                join_blocks(a, c, a @ bases[r["dims"]], c @ bases[r["dims"]], same, least, eps, hit)
-                if not forest:
-                    continue
+        """Rows sorted by home, part and role: one home block (role 0), then its partners; the home joins itself in part 0."""
+
+        def read(r: dict):
+            x = _unit(np.frombuffer(r["vectors"], kind).reshape(r["n"], -1))
+            return x, x @ _basis(bases, r["dims"]), np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["sizes"], "<i8")
+
+        def joined(home, other, same: bool) -> Iterator[pa.RecordBatch]:
+            (a, p, ids, sizes), (c, q, ids2, sizes2) = home, other
+            links, links2 = np.zeros(len(ids), np.int64), np.zeros(len(ids2), np.int64)
+            forest: list[np.ndarray] = []
+
+            def hit(i, j):
+                np.add.at(links, i, sizes2[j])
+                np.add.at(links2, j, sizes[i])
+                forest.append(np.stack(contract(ids[i], ids2[j])))
+
+            join_blocks(a, c, p, q, same, least, eps, hit)
+            if forest:
                 u, v = contract(*np.concatenate(forest, axis=1))
                 who, n = np.concatenate([ids, ids2]), np.concatenate([links, links2])
                 who, n = who[n > 0], n[n > 0]
-                kind = np.repeat(np.array([0, 1], np.int32), [len(who), len(u)])
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([who, u])), pa.array(np.concatenate([n, v]))], schema=_FOUND)
+                told = np.repeat(np.array([0, 1], np.int32), [len(who), len(u)])
+                yield pa.RecordBatch.from_arrays([pa.array(told), pa.array(np.concatenate([who, u])), pa.array(np.concatenate([n, v]))], schema=_FOUND)
+
+        home = None
+        for b in batches:
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                if r["role"] == 0:
+                    home = read(r)
+                    if r["part"] == 0:
+                        yield from joined(home, home, True)
+                else:
+                    yield from joined(home, read(r), False)
 
     return run
 
 
+def _pairs_of_blocks(boxes: DataFrame, directions: int, eps: float) -> DataFrame:
+    """``block, block2`` (block < block2): pairs of one label whose boxes lie within eps, looked up by neighbouring cells on the leading directions."""
+    side = max(eps, _SIDE)
+    cell = lambda x, k, more: (F.floor(F.coalesce(F.get(x, F.lit(k)), F.lit(0.0)) / side) + more).cast("long")
+    keys = [f"cell{k}" for k in range(min(_LEADING, directions))]
+    left = boxes
+    right = boxes.select("label", "dims", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    for k, name in enumerate(keys):
+        left = left.withColumn(name, F.explode(F.sequence(cell("lo", k, -1), cell("hi", k, 1))))
+        right = right.withColumn(name, F.explode(F.sequence(cell("lo2", k, 0), cell("hi2", k, 0))))
+    gaps = F.zip_with(F.zip_with("lo", "hi2", lambda x, y: x - y), F.zip_with("lo2", "hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    near = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x) <= eps * eps
+    return left.join(right, ["label", "dims", *keys]).where((F.col("block") < F.col("block2")) & near).select("block", "block2").distinct()
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.98, block: int = BLOCK, sample: int = 4096, dims: int = 6) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors`` (vec_id, embedding, label).
 
     Rows link when their labels are equal and not null and their cosine, in
-    double precision, is ``least`` or more. Equal vectors of one label are one
-    class: its rows link with each other, and count in n_links as many times
-    as they are. Vectors that are null, empty, zero or hold null or non-finite
-    components link with nothing, nor do vectors of different length or rows
-    with a null label or id.
+    double precision, is ``least`` or more. Equal vectors of one label (by 128
+    bits of hash) are one class: its rows link with each other, and count in
+    n_links as many times as they are. Vectors that are null, empty, zero or
+    hold null or non-finite components link with nothing, nor do vectors of
+    different length or rows with a null label or id.
 
     The classes are put in epsilon grid order: by label, then by cells of side
     eps (the distance of unit vectors at that cosine) on the leading principal
     directions, which come from a bounded sample (``sample`` classes by hash).
-    The sequence is cut into blocks; pairs of blocks whose boxes may lie within
-    eps are joined recursively, skipping what is provably farther apart. A
-    block pair gives counts and a forest, never its pairs.
-
-    Repeated vec_ids are rows of their own; no rows give no rows; other columns
-    are not read.
+    The sequence is cut into blocks; pairs of blocks whose boxes lie within
+    eps, found by cells on several directions, are joined recursively, skipping
+    what is provably farther apart. A block is sent once to at most 16 partners
+    together; a block pair gives counts and a forest, never its pairs.
+
+    Rows that share a vec_id are rows of their own, linked by their own
+    vectors only; component_id is the smallest vec_id of any row reachable. No
+    rows give no rows; other columns are not read.
     """
     eps = float(np.sqrt(max(0.0, 2 - 2 * least))) * (1 + 1e-9) + 1e-12
-    e = F.col("embedding")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), e.cast("array<double>").alias("embedding"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind, form = ("<f4", "float") if single else ("<f8", "double")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{form}>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     # adding zero makes -0.0 and 0.0 one value
-    rows = rows.withColumn("usable", usable).withColumn("embedding", F.when(usable, F.transform("embedding", lambda x: x + F.lit(0.0))))
-    classes = written(rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")), "vector-classes")
-    classes = classes.withColumn("dims", F.size("embedding"))
-    bases = {}
-    for r in classes.select("dims").distinct().collect():
-        got = bounded_sample(classes.where(F.col("dims") == r.dims).select("rep", "embedding"), "rep", sample).select("embedding").collect()
-        x = np.array([g.embedding for g in got])
-        bases[r.dims] = principal(x / np.sqrt((x * x).sum(1, keepdims=True)), dims)
+    rows = rows.withColumn("usable", usable).withColumn("embedding", F.when(usable, F.transform("embedding", lambda x: x + F.lit(0.0).cast(form))))
+    keyed = rows.where("usable").select("vec_id", "label", F.size("embedding").alias("dims"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"), "embedding")
+    key = ["label", "dims", "h1", "h2"]
+    classes = keyed.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
+    got = bounded_sample(classes.select("h1", "dims", "embedding"), "h1", sample).select("dims", "embedding").toArrow()
+    sizes = got.column("dims").to_numpy()
+    some = got.column("embedding").to_pylist()
+    bases = {int(d): principal(_unit(np.array([some[i] for i in np.flatnonzero(sizes == d)])), dims) for d in np.unique(sizes)}
     deep = max([b.shape[1] for b in bases.values()], default=0)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     cells = []
@@ -184,25 +220,23 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, block: int = BLOCK,
                 cell = F.floor(dot / norm / eps)
                 axis = F.when(F.col("dims") == d, cell) if axis is None else axis.when(F.col("dims") == d, cell)
         cells.append(axis.alias(f"c{k}"))
-    placed = classes.select("label", "dims", "rep", "size", "embedding", *cells)
-    order = ["label", "dims", *[f"c{k}" for k in range(deep)], "rep"]
+    placed = classes.select("label", "dims", "cls", "size", "embedding", *cells)
+    order = ["label", "dims", *[f"c{k}" for k in range(deep)], "cls"]
     ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     blocks = written(map_batches(ranged, _block_batches(bases, block), "label string, dims int, block long, n int, lo array<double>, hi array<double>, ids binary, sizes binary, vectors binary"), "vector-blocks")
-    # candidate pairs of blocks: those that touch the same or neighbouring cells of the first direction
-    cell = lambda x, more: (F.floor(F.coalesce(F.get(x, F.lit(0)), F.lit(0.0)) / eps) + more).cast("long")
-    boxes = blocks.select("label", "dims", "block", "lo", "hi")
-    left = boxes.withColumn("cell", F.explode(F.sequence(cell(F.col("lo"), -1), cell(F.col("hi"), 1))))
-    right = boxes.select("label", "dims", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(cell(F.col("lo"), 0), cell(F.col("hi"), 0))).alias("cell"))
-    gaps = F.zip_with(F.zip_with("lo", "hi2", lambda x, y: x - y), F.zip_with("lo2", "hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    near = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x) <= eps * eps
-    pairs = left.join(right, ["label", "dims", "cell"]).where((F.col("block") <= F.col("block2")) & near).select("block", "block2").distinct()
-    other = blocks.select(F.col("block").alias("block2"), F.col("n").alias("n2"), F.col("ids").alias("ids2"), F.col("sizes").alias("sizes2"), F.col("vectors").alias("vectors2"))
-    both = pairs.join(blocks.select("block", "dims", "n", "ids", "sizes", "vectors"), "block").join(other, "block2").repartition("block", "block2")
-    found = written(map_batches(both, _pair_batches(bases, least, eps), "kind int, u long, v long"), "vector-links")
-    counts = found.where("kind = 0").groupBy(F.col("u").alias("rep")).agg(F.sum("v").alias("links"))
-    parts = connected_components(found.where("kind = 1").select("u", "v"))
-    named = classes.select("label", "embedding", "rep", "size").join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    named = written(named.select("label", "embedding", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "vector-components")
-    joined = rows.where("usable").join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    pairs = written(_pairs_of_blocks(blocks.select("label", "dims", "block", "lo", "hi"), deep, eps), "block-pairs")
+    parts = pairs.groupBy("block").agg(F.ceil(F.count("*") / _PARTNERS).cast("int").alias("parts"))
+    body = ["dims", "n", "ids", "sizes", "vectors"]
+    homes = blocks.join(parts, "block", "left").select("block", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(0).alias("role"), *body)
+    sent = pairs.join(parts, "block").select(F.col("block").alias("home"), F.pmod(F.xxhash64("block2"), F.col("parts")).cast("int").alias("part"), F.col("block2").alias("block"))
+    partners = sent.join(blocks, "block").select(F.col("home").alias("block"), "part", F.lit(1).alias("role"), *body)
+    both = homes.unionByName(partners).repartition("block", "part").sortWithinPartitions("block", "part", "role")
+    found = written(map_batches(both, _pair_batches(bases, kind, least, eps), "kind int, u long, v long"), "vector-links")
+    counts = found.where("kind = 0").groupBy(F.col("u").alias("cls")).agg(F.sum("v").alias("links"))
+    joined = connected_components(found.where("kind = 1").select("u", "v")).withColumnRenamed("node", "cls")
+    known = classes.drop("embedding").join(counts, "cls", "left").join(joined, "cls", "left")
+    known = written(known.select(*key, "rep", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "cls").alias("component")), "vector-components")
+    least_id = known.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = keyed.drop("embedding").join(known.join(least_id, "component").select(*key, "n_links", "component_id"), key).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return joined.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -84,16 +84,17 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": urls.sql(),
         "op3_embedding_dedup": """
-    WITH RECURSIVE u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WITH RECURSIVE r AS (SELECT row_number() OVER () AS rid, vec_id, label, embedding FROM embeddings),
+    u AS (SELECT rid, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM r
                WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-    n AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM u),
-    link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    n AS (SELECT rid, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM u),
+    link AS (SELECT a.rid AS a, b.rid AS b FROM n a JOIN n b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e)
              WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
-    reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
-    comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+    reach AS (SELECT rid AS a, rid AS b FROM r UNION SELECT reach.a, l.b FROM reach JOIN link l ON reach.b = l.a),
+    comp AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN r ON r.rid = reach.b GROUP BY a),
     cnt AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
-    SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
-    FROM embeddings e JOIN comp ON comp.a = e.vec_id LEFT JOIN cnt ON cnt.a = e.vec_id""",
+    SELECT r.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, r.vec_id = component_id AS kept
+    FROM r JOIN comp ON comp.a = r.rid LEFT JOIN cnt ON cnt.a = r.rid""",
         "op4_chat_format": f"""
     WITH chat_rows AS (SELECT conv_id, turn, role, text FROM conversations
                        UNION ALL SELECT -7, 0, 'user', '{hard}' UNION ALL SELECT -7, 1, 'assistant', '{hard}'),{chat.SQL}""",

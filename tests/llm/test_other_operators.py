@@ -7,6 +7,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from columnade.llm import chat, embeddings, registry, shingles, topk, urls
@@ -63,6 +64,25 @@ def test_embeddings_like_brute_force(spark, least):
     assert got == {i: (len(links[i]), part[i], part[i] == i) for i in links}
 
 
+def test_embeddings_of_shared_ids(spark):
+    """Rows of one id link by their own vectors and labels only."""
+    a, b, c = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1], [0.0, 0.1, 1.0]
+    rows = [(5, a, 1), (6, a, 1), (5, b, 1), (9, b, 1), (5, a, 2), (3, c, 2), (3, a, 2), (7, c, 1), (5, a, 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(vectors_of(spark, rows)).collect())
+    assert got == sorted([(5, 2, 5, True), (6, 2, 5, False), (5, 1, 5, True), (9, 1, 5, False), (5, 1, 3, False), (3, 0, 3, True), (3, 1, 3, True), (7, 0, 7, True), (5, 2, 5, True)])
+
+
+def test_embeddings_of_many_blocks(spark):
+    """Many small blocks with many partners each give the same as one block, in single and in double precision."""
+    r = np.random.default_rng(12)
+    x = r.standard_normal((40, 8)).repeat(12, 0) + r.standard_normal((480, 8)) * 0.12
+    df = spark.createDataFrame([(i, [float(c) for c in v], "s" if i % 9 else None) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    one = sorted(map(tuple, embeddings.near_duplicates(df).collect()))
+    assert one == sorted(map(tuple, embeddings.near_duplicates(df.repartition(5), block=7).collect())) and len({o[2] for o in one}) < 460
+    huge = df.withColumn("embedding", F.transform("embedding", lambda c: c * 1e200))
+    assert one == sorted(map(tuple, embeddings.near_duplicates(huge, block=50).collect()))
+
+
 def test_interval_join_skips_nothing_that_is_near():
     r = np.random.default_rng(1)
     x = r.standard_normal((700, 5))
