@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import logging
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -88,9 +91,26 @@ def discard(df: DataFrame) -> None:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` under the batch bounds of :func:`tune`."""
+    """``mapInArrow`` under the batch bounds of :func:`tune`; a task gives back what memory it no longer needs."""
     tune(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            _trim()
+
+    return df.mapInArrow(run, schema)
+
+
+def _trim() -> None:
+    """Free memory goes back to the system: Python workers live on after a task, and the next one may be another operator's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
 
 
 def fold(doc_id: str, modulus: int):

@@ -6,6 +6,7 @@ import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,8 +244,8 @@ def test_near_copies_like_brute_force(spark):
     texts = near_copies()
     want = brute_components(texts)
     df = spark.createDataFrame([(i, t, "s") for i, t in texts.items()] + [(None, "one two", "s")], "doc_id long, text string, sig string").repartition(3)
-    for together in (4_000_000, 500):  # whole groups, and groups in parts
-        assert {r.doc_id: r.component_id for r in shingles.similar_components(df, together=together).collect()} == want
+    for together, entry in ((4_000_000, 1000), (500, 5)):  # whole groups and entries, and groups in parts and entries tied unseen
+        assert {r.doc_id: r.component_id for r in shingles.similar_components(df, together=together, entry=entry).collect()} == want
     assert 30 < len(set(want.values())) < len(want) - 30
     kept = [r.doc_id for r in shingles.keep_one(df).collect()]
     assert sorted(i for i in kept if i is not None) == sorted(set(want.values())) and kept.count(None) == 1
@@ -253,8 +254,41 @@ def test_near_copies_like_brute_force(spark):
 
 def test_runs_of_one_key_end_where_sizes_do_not_fit():
     key, n, sig = np.array([1, 1, 1, 1, 2, 2]), np.array([8, 10, 10, 13, 5, 5]), np.array([4, 3, 3, 9, 4, 3])
-    first, pairs = shingles._chained(key, n, sig, 0.8)
-    assert first.tolist() == [4, 4, 4, 9, 4, 4] and sorted(pairs.T.tolist()) == [[4, 3]]
+    assert sig[shingles._chained(key, n, sig, 0.8)].tolist() == [4, 4, 4, 9, 4, 4]
+
+
+def test_sketches_never_rule_out_a_link():
+    r = np.random.default_rng(3)
+    sets = []
+    for size in (1, 3, 60, 200, 250, 270, 1000, 1030, 5000):
+        base = r.integers(0, 1 << 63, size, dtype=np.uint64)
+        for share in (0, 0.05, 0.1, 0.15, 0.3):
+            kept = base[r.random(size) >= share / 2]
+            sets.append(np.unique(np.concatenate([kept, r.integers(0, 1 << 63, int(size * share / 2), dtype=np.uint64)])))
+    n = np.array([len(x) for x in sets])
+    marks = shingles.Marks(n, [shingles.sketch(x, 1 << w).tobytes() for x, w in zip(sets, shingles.width(n).tolist(), strict=True)], 0.8)
+    a, b = np.nonzero(np.ones((len(sets), len(sets))))
+    may, links = marks.may(a, b), []
+    for i, j, m in zip(a.tolist(), b.tolist(), may.tolist(), strict=True):
+        both, union = shingles.similarity(sets[i], sets[j])
+        links.append(both >= 0.8 * union)
+        assert m or not links[-1]
+    assert 100 < sum(links) <= may.sum() < 0.3 * len(may)
+
+
+def test_entries_in_any_batches():
+    """Shared entries and ties do not depend on how rows are dealt to batches, nor on what is tied unseen."""
+    r = np.random.default_rng(5)
+    base = [np.unique(r.integers(0, 1 << 63, 60, dtype=np.uint64)) for _ in range(3)]
+    rows = [(int(k), len(base[k % 3]), int(i), shingles.sketch(base[k % 3], 256).tobytes()) for k in range(9) for i in range(1 + 20 * (k % 4 == 0) + k)]
+    table = pa.table({n: pa.array(c, t) for n, c, t in zip(("key", "n", "sig", "mark"), zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)})
+    for size, most in ((3, 1000), (1000, 1000), (7, 4), (50, 1)):
+        shingles._ROWS, old = size, shingles._ROWS
+        found = [x for b in shingles._tie_batches(0.8, most)(iter(table.to_batches(max_chunksize=5))) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        kept = [x for b in shingles._shared_entries(0.8)(iter(table.select(["key", "n", "sig"]).to_batches(max_chunksize=5))) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        shingles._ROWS = old
+        assert kept == [x[:3] for x in rows]
+        assert {v for _, v in found} | {u for u, _ in found} == {x[2] for x in rows} and len({u for u, v in found} - {v for u, v in found}) == 1
 
 
 def test_near_copies_of_shared_ids(spark):
