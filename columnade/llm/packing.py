@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from columnade.llm.common import map_batches, written
+from columnade.llm.remembered import Remembered, blocks
 
 #: What the word-by-word way relies on, as the tokenizer file states it; a file that states other steps is refused.
 _NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -133,81 +134,23 @@ class WordTokenizer:
         if stated["normalizer"] != _NORMALISER or stated["pre_tokenizer"] != _PRE_TOKENISER or stated["truncation"] or stated["padding"]:
             raise ValueError("the tokenizer's normaliser or pre-tokenizer is not the one that texts are cut for here")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self._reset({}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def _reset(self, at: dict[str, int], ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        self.at, self.ids, self.begin, self.size = at, ids, begin, size
-        self.used, self.seen = len(ids), np.ones(len(begin), np.int32)
-
-    def _forget(self) -> None:
-        """Keep the half of the words that most batches held."""
-        n = len(self.at)
-        keep = np.sort(np.argsort(-self.seen[:n], kind="stable")[: _MEMO // 2])
-        number = np.full(n, -1)
-        number[keep] = np.arange(len(keep))
-        at = {w: k for w, k in zip(self.at, number.tolist(), strict=True) if k >= 0}
-        size = self.size[keep]
-        ids = self.ids[_ranges(self.begin[keep], size)]
-        self._reset(at, ids, np.cumsum(size) - size, size)
-
-    def _learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            total, n = int(size.sum()), len(self.at)
-            self.ids = _room(self.ids, self.used + total)
-            self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, total)
-            self.begin, self.size, self.seen = (_room(x, n + len(part)) for x in (self.begin, self.size, self.seen))
-            self.begin[n : n + len(part)] = self.used + np.cumsum(size) - size
-            self.size[n : n + len(part)] = size
-            self.seen[n : n + len(part)] = 0
-            self.at.update(zip(part, range(n, n + len(part)), strict=True))
-            self.used += total
-
-    def _block(self, texts: pa.Array, raw: np.ndarray, cuts: np.ndarray) -> Iterator[np.ndarray]:
-        words, bounds = pre_tokens(raw, cuts)
-        coded = words.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if len(self.at) > _MEMO:
-            self._forget()
-        self._learn([w for w in names if w not in self.at])
-        number = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
-        self.seen[number] += 1
-        place = number[coded.indices.to_numpy()]
-        size = self.size[place]
-        ids = self.ids[_ranges(self.begin[place], size)]
-        ends = np.concatenate([[0], np.cumsum(size)])[bounds]
-        whole = np.zeros(len(texts), bool)
-        for s in self.special:
-            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        for k, (a, b) in enumerate(pairwise(ends.tolist())):
-            yield np.array(self.library.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32) if whole[k] else ids[a:b]
+        self.words = Remembered([np.uint32], self._learn, _MEMO)
+
+    def _learn(self, new: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return [(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum())), size)]
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Unsigned 32-bit ids of each text (null: none)."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if not len(texts):
-            return
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = texts.buffers()[2]
-        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-        a = 0
-        while a < len(texts):
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _AT_ONCE, "right")) - 1)
-            yield from self._block(texts.slice(a, b - a), raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            a = b
-
-
-def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... (size[0] numbers), begin[1], ..."""
-    out = np.repeat(begin - (np.cumsum(size) - size), size)
-    out += np.arange(len(out))
-    return out
-
-
-def _room(x: np.ndarray, n: int) -> np.ndarray:
-    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+        for some, raw, cuts in blocks(texts, _AT_ONCE):
+            words, bounds = pre_tokens(raw, cuts)
+            ids, ends = self.words.columns[0].of(self.words.numbers(words), bounds)
+            whole = np.zeros(len(some), bool)
+            for s in self.special:
+                whole |= pc.match_substring(some, s).to_numpy(zero_copy_only=False)
+            for k, (a, b) in enumerate(pairwise(ends.tolist())):
+                yield np.array(self.library.encode(some[k].as_py(), add_special_tokens=False).ids, np.uint32) if whole[k] else ids[a:b]
 
 
 @functools.lru_cache(maxsize=2)

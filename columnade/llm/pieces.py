@@ -5,9 +5,10 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import itertools
 import re
-from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from columnade.llm.common import batch, map_batches
+from columnade.llm.remembered import Remembered, blocks
 
 _SPACE = "▁"
-_MEMO = 600_000
+#: Segments remembered, and bytes of text looked at together (one text at least).
+_MEMO, _AT_ONCE = 600_000, 4 << 20
+#: One row in so many of a batch has its whole text held against the library.
+CHECK_EVERY = 16
 #: Segments longer than this go through a heap of pairs, not through the table of all segments.
 _LONG = 64
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -49,7 +54,8 @@ class PieceEncoder:
         if any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in self.symbol):
             raise ValueError("the model has pieces that reach across words")
         inner = {c for p in self.symbol if len(p) > 1 for c in p}
-        self.size, self.names, self.decimal = n, pieces, [str(i) for i in range(n)]
+        self.size, self.names, self.decimal = n, pieces, [b"%d," % i for i in range(n)]
+        self.digits = np.fromiter(map(len, self.decimal), np.int64, n)
         for k, c in enumerate(sorted(inner - set(self.symbol))):  # characters that occur in pieces only
             self.symbol[c] = n + k
         self.of_char = np.full(0x110000, -2, np.int64)
@@ -70,9 +76,10 @@ class PieceEncoder:
         self.merged = np.array([table[k][1] for k in self.keys.tolist()], np.int64)
         self.table = table
         # a character that no longer piece holds ends a segment on both sides
-        loose = re.escape("".join(sorted(inner | {_SPACE})))
-        self.segments = re.compile(f"{_SPACE}*[{loose.replace(_SPACE, '')}]+|{_SPACE}+|[^{loose}]+")
-        self.memo: dict[str, tuple[str, bytes]] = {}
+        self.kind = np.full(0x110000, 2, np.uint8)
+        self.kind[[ord(c) for c in inner]] = 1
+        self.kind[[ord(" "), ord(_SPACE)]] = 0
+        self.known = Remembered([np.int32, np.uint8], self._learn, _MEMO)
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of the merge of each pair (the largest number: none) and what it makes."""
@@ -165,38 +172,67 @@ class PieceEncoder:
             offer(i)
         return self._finish(segment, [x for x in s if x is not None])
 
-    def _learn(self, new: list[str]) -> None:
-        new.sort(key=len)
-        cut = bisect.bisect_right(new, _LONG, key=len)
+    def _learn(self, new: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of segments, and their decimal text with a comma behind each."""
+        order = sorted(range(len(new)), key=lambda k: len(new[k]))
+        texts = [new[k].replace(" ", _SPACE) for k in order]
+        cut = bisect.bisect_right(texts, _LONG, key=len)
         found: list[list[int]] = []
         for i in range(0, cut, 5000):
-            found.extend(self._agenda_table(new[i : min(cut, i + 5000)]))
-        found.extend(map(self._agenda_heap, new[cut:]))
+            found.extend(self._agenda_table(texts[i : min(cut, i + 5000)]))
+        found.extend(map(self._agenda_heap, texts[cut:]))
         if self.verify:  # against the library: every segment that starts with a space mark is a text of its own
-            whole = [k for k, t in enumerate(new) if t[0] == _SPACE and len(t) > 1]
-            for k, ids in zip(whole, self.library.encode([new[k][1:].replace(_SPACE, " ") for k in whole]), strict=True):
+            whole = [k for k, t in enumerate(texts) if t[0] == _SPACE and len(t) > 1]
+            for k, ids in zip(whole, self.library.encode([texts[k][1:].replace(_SPACE, " ") for k in whole]), strict=True):
                 if ids != found[k]:
-                    raise ValueError(f"merges of {new[k]!r} differ from the sentencepiece library")
-        name = self.decimal.__getitem__
-        self.memo.update((t, (",".join(map(name, ids)), array("i", ids).tobytes())) for t, ids in zip(new, found, strict=True))
-
-    def encode(self, texts: list[str]) -> list[tuple[str, list[int]]]:
-        """Of each text, its decimal ids joined by commas, and its ids."""
-        if len(self.memo) > _MEMO:
-            self.memo.clear()
-        split = [self.segments.findall(_SPACE + t.replace(" ", _SPACE)) if t else [] for t in texts]
-        memo = self.memo
-        new = [t for t in set().union(*split) if t not in memo]
-        if new:
-            self._learn(new)
-        out = []
-        for parts in split:
-            found = [memo[p] for p in parts]
-            out.append((",".join([f[0] for f in found]), np.frombuffer(b"".join([f[1] for f in found]), np.int32).tolist()))
-        return out
+                    raise ValueError(f"merges of {texts[k]!r} differ from the sentencepiece library")
+        back = [found[k] for k in np.argsort(order).tolist()]
+        size = np.fromiter(map(len, back), np.int64, len(back))
+        ids = np.fromiter(itertools.chain.from_iterable(back), np.int32, int(size.sum()))
+        digits = self.digits[ids]
+        ends = np.concatenate([[0], np.cumsum(digits)])
+        behind = np.cumsum(size)
+        told = np.frombuffer(b"".join([self.decimal[i] for i in ids.tolist()]), np.uint8)
+        return [(ids, size), (told, ends[behind] - ends[behind - size])]
+
+    def segments(self, raw: np.ndarray, cuts: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+        """The segments of UTF-8 texts that stand end to end, each text that is not empty with a space before it, and how many come before each cut."""
+        full = cuts[:-1] < cuts[1:]
+        data = np.full(len(raw) + int(full.sum()), 32, np.uint8)
+        begin = cuts + np.concatenate([[0], np.cumsum(full)])
+        ink = np.ones(len(data), bool)
+        ink[begin[:-1][full]] = False
+        data[ink] = raw
+        lead = data & 0xC0 != 0x80
+        at = np.flatnonzero(lead)
+        code = data[at].astype(np.int32)
+        wide = np.flatnonzero(code >= 0x80)
+        if len(wide):
+            d = np.concatenate([data, np.zeros(3, np.uint8)])
+            k, top = at[wide], code[wide]
+            one, two, three = (d[k + j].astype(np.int32) & 63 for j in (1, 2, 3))
+            code[wide] = np.where(top < 0xE0, (top & 31) << 6 | one, np.where(top < 0xF0, (top & 15) << 12 | one << 6 | two, (top & 7) << 18 | one << 12 | two << 6 | three))
+        kind = self.kind[code]
+        start = np.ones(len(at), bool)
+        start[1:] = (kind[1:] != kind[:-1]) & ~((kind[1:] == 1) & (kind[:-1] == 0))
+        start |= ~ink[at]
+        begins = at[start]
+        offsets = np.append(begins, len(data)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data)), np.searchsorted(begins, begin)
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, memoryview]]:
+        """Of each text (null: empty), its ids and the decimal ids joined by commas, as bytes."""
+        for _, raw, cuts in blocks(texts, _AT_ONCE):
+            found, bounds = self.segments(raw, cuts)
+            number = self.known.numbers(found)
+            ids, ends = self.known.columns[0].of(number, bounds)
+            told, stops = self.known.columns[1].of(number, bounds)
+            shown = memoryview(told)
+            for (a, b), (c, d) in zip(pairwise(ends.tolist()), pairwise(stops.tolist()), strict=True):
+                yield ids[a:b], shown[c : max(c, d - 1)]
 
     def ids(self, text: str) -> list[int]:
-        return self.encode([text])[0][1]
+        return next(self.encode(pa.array([text])))[0].tolist()
 
 
 @functools.lru_cache(maxsize=2)
@@ -204,23 +240,21 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def _sha(data: str) -> str:
-    return hashlib.sha256(data.encode("utf-8", "surrogatepass")).hexdigest()
-
-
-def _digest_batches(path: str, check_texts: bool):
+def _digest_batches(path: str, check_every: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(path)
+        sha = lambda data: hashlib.sha256(data).hexdigest()
         for b in batches:
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            for i in range(0, len(texts), 256):
-                part = texts[i : i + 256]
-                found = encoder.encode(part)
-                ids = [f[1] for f in found]
-                if check_texts and ids != encoder.library.encode(part):
-                    raise ValueError("ids differ from the sentencepiece library")
+            encoded = encoder.encode(b.column(1))
+            for i in range(0, b.num_rows, 256):
+                some = list(itertools.islice(encoded, 256))
+                ids = [f[0].tolist() for f in some]
+                if check_every:
+                    held = range((-i) % check_every, len(ids), check_every)
+                    if [ids[k] for k in held] != encoder.library.encode([b.column(1)[i + k].as_py() or "" for k in held]):
+                        raise ValueError("ids differ from the sentencepiece library")
                 decoded = encoder.library.decode(ids)
-                yield batch(_OUT, b.column(0).slice(i, 256), [len(x) for x in ids], [_sha(f[0]) for f in found], [_sha(t) for t in decoded])
+                yield batch(_OUT, b.column(0).slice(i, 256), [len(x) for x in ids], [sha(f[1]) for f in some], [sha(t.encode("utf-8", "surrogatepass")) for t in decoded])
 
     return run
 
@@ -229,10 +263,9 @@ def _id_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(path)
         for b in batches:
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            for i in range(0, len(texts), 256):
-                ids = [f[1] for f in encoder.encode(texts[i : i + 256])]
-                yield batch(_IDS, b.column(0).slice(i, 256), ids)
+            encoded = encoder.encode(b.column(1))
+            for i in range(0, b.num_rows, 256):
+                yield batch(_IDS, b.column(0).slice(i, 256), [f[0] for f in itertools.islice(encoded, 256)])
 
     return run
 
@@ -258,13 +291,13 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, model_path: str, check_texts: bool = False) -> DataFrame:
+def digests(docs: DataFrame, model_path: str, check_every: int = CHECK_EVERY) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text.
 
-    Merges of new segments are held against the sentencepiece library in each
-    Arrow batch, and a difference fails the task; ``check_texts`` holds whole
-    texts against it too. Null and empty texts have no ids and decode to the
-    empty text; repeated rows give repeated rows; a null doc_id stays null; no
-    rows give no rows; other columns are not read.
+    In each Arrow batch new segments that start with a space, and the whole
+    text of one row in ``check_every`` (0: none, 1: all), are held against the
+    sentencepiece library; a difference fails the task. Null and empty texts
+    have no ids and decode to the empty text; repeated rows give repeated rows;
+    a null doc_id stays null; no rows give no rows; other columns are not read.
     """
-    return map_batches(_rows(docs), _digest_batches(model_path, check_texts), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(_rows(docs), _digest_batches(model_path, check_every), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -263,12 +263,18 @@ def piece_model():
     return registry.tokenizer_path("piece_bpe_32k.model")
 
 
-def test_pieces_like_the_library(piece_model):
+def test_pieces_like_the_library(piece_model, monkeypatch):
     encoder = pieces.PieceEncoder(piece_model)
     odd = ["a  b", " a", "a ", "▁x ▁▁ y", "\n\n x\n", "<s>hi</s><0x41>", "日本語 👍🏽\x00z", "a" * 300 + " b" * 3, "  ", "\t\tif x==1:\n        return  y", "", LONG, "x" * 5000]
     r = random.Random(1)
     odd += ["".join(r.choice("abthe rin▁ \n.,19é日") for _ in range(r.randint(0, 120))) for _ in range(500)]
-    assert [encoder.ids(t) for t in odd] == encoder.library.encode(odd)
+    odd += ["".join(r.choice(" ▁ab😀ñé\U0001f600\u00a0語") for _ in range(r.randint(0, 12))) for _ in range(500)]
+    want = encoder.library.encode(odd)
+    assert [encoder.ids(t) for t in odd] == want
+    for at_once in (200, 1 << 30):
+        monkeypatch.setattr(pieces, "_AT_ONCE", at_once)
+        got = list(encoder.encode(pa.array([*odd, None])))
+        assert [g[0].tolist() for g in got] == [*want, []] and [bytes(g[1]).decode() for g in got] == [",".join(map(str, w)) for w in [*want, []]]
 
 
 def test_pieces_query(spark, piece_model):
@@ -279,12 +285,23 @@ def test_pieces_query(spark, piece_model):
     for i, t in rows:
         ids = library.encode(t or "")
         want.append((i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids))))
-    got = [tuple(r) for r in pieces.digests(docs_of(spark, rows, ("ids",)), piece_model, check_texts=True).collect()]
+    got = [tuple(r) for r in pieces.digests(docs_of(spark, rows, ("ids",)), piece_model, check_every=1).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     back = pieces.decode(pieces.encode(docs_of(spark, rows), piece_model), piece_model)
     assert all(r.text == (t or "") for r, (_, t) in zip(back.collect(), rows, strict=True) if "日" not in (t or ""))
 
 
+def test_pieces_registered_query(spark, piece_model, sf_dir):
+    """The registered query over the whole table against the library, row by row."""
+    library = pieces.piece_encoder(piece_model).library
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        ids = library.encode(r.text or "")
+        want[r.doc_id] = (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+    assert {r.doc_id: tuple(r)[1:] for r in registry.op5_sentencepiece(spark, sf_dir).collect()} == want
+
+
 def test_words_are_runs_of_letters():
     assert language.words_of("½ ² a²b Ⅷ 12 É_x") == ["a", "b", "é", "x"] and language.words_of(None) == language.words_of("½") == []
 
