@@ -11,6 +11,8 @@ from columnade.plans.binder import Binder
 from columnade.plans.nodes import Call, Lit, Node
 
 _DAY = 86_400
+#: From here on a DOUBLE is whole.
+_WHOLE = 2.0**53
 #: Mean radius of the earth in miles.
 EARTH_MILES = 3958.8
 
@@ -90,8 +92,19 @@ def _round(b: Binder, args: list) -> Node:
         if places.value is None:
             return Lit(t.DOUBLE, True, None)
         return Call(t.DOUBLE, value.nullable, "ROUND", (value, places), lambda x, _: F.round(x, places.value))
-    scale = lambda n: F.pow(F.lit(10.0), n)
-    return Call(t.DOUBLE, True, "ROUND", (value, places), lambda x, n: F.round(x * scale(n)) / scale(n))
+
+    def made(x: Column, n: Column) -> Column:
+        scale = F.pow(F.lit(10.0), n)
+        # from 2^53 on there is no fraction left to round; below 10^-308 the scale is zero
+        rounded = F.when(F.abs(x * scale) < _WHOLE, F.round(x * scale) / scale).otherwise(x)
+        return F.when(x.isNotNull() & n.isNotNull(), F.when(n < -308, F.lit(0.0)).otherwise(rounded))
+
+    return Call(t.DOUBLE, True, "ROUND", (value, places), made)
+
+
+def _whole(to_whole):
+    """FLOOR or CEIL by way of a 64-bit number, where a DOUBLE can have a fraction at all; other values, NaN too, stay."""
+    return lambda x: F.when(F.abs(x) < _WHOLE, to_whole(x).cast("double")).otherwise(x)
 
 
 def _distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -104,7 +117,7 @@ SPECS = [
     *(_binary(op) for op in "+-*/"),
     *(_signed(f"unary {op}") for op in "+-"),
     FunctionSpec("ROUND", "nearest whole number, or to so many places; halves away from zero", _round),
-    simple("FLOOR", "largest whole number not above, as DOUBLE", (t.DOUBLE,), t.DOUBLE, lambda x: F.floor(x).cast("double")),
-    simple("CEIL", "smallest whole number not below, as DOUBLE", (t.DOUBLE,), t.DOUBLE, lambda x: F.ceil(x).cast("double")),
+    simple("FLOOR", "largest whole number not above, as DOUBLE", (t.DOUBLE,), t.DOUBLE, _whole(F.floor)),
+    simple("CEIL", "smallest whole number not below, as DOUBLE", (t.DOUBLE,), t.DOUBLE, _whole(F.ceil)),
     simple("GEO_DISTANCE", "great-circle distance in miles of (lat1, lon1) and (lat2, lon2) in degrees", (t.DOUBLE,) * 4, t.DOUBLE, _distance),
 ]

@@ -33,6 +33,9 @@ def of_spark(kind: T.DataType) -> str | None:
     return None
 
 
+#: DATETIME constants go from minus to plus so many seconds since 1970, one less than a timestamp of 64-bit microseconds.
+LAST_SECOND = (1 << 63) // 1_000_000 - 2
+
 _TIME = r"(?:.(\d{1,2})(?::(\d{1,2})(?::(\d{1,2})(?:\.\d*)?)?)?)?"
 _ZONE = r"\s*(Z|[+-]\d{2}:?\d{2})?"
 #: Year first: groups year, month, day, hour, minute, second, zone.

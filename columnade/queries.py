@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from columnade.functions.spec import user_function
 from columnade.operators import Engine
-from columnade.sources import read_table
+from columnade.plans.errors import AnalysisError, ParseError
+from columnade.sources import json_document, json_documents, json_rows, read_table, write_ids
 
 _KEYS = {
     "lineitem": ("l_orderkey", "l_linenumber"), "orders": ("o_orderkey",), "part": ("p_partkey",), "events": ("event_id",),
@@ -57,6 +64,11 @@ _DATES = (
     ("iso", "concat(concat('1997-03-', lpad(cast(l_linenumber AS varchar(9)), 2, '0')), 'T10:20:30')"),
     ("us", "concat(concat('03-', lpad(cast(l_linenumber AS varchar(9)), 2, '0')), '-1997 10:20')"),
 )
+#: Values beyond 64-bit numbers, not a number, and texts of numbers on both sides of what an INT holds.
+_HUGE = (("huge", "CASE WHEN c_custkey % 4 = 0 THEN 1e300 WHEN c_custkey % 4 = 1 THEN -1e300 WHEN c_custkey % 4 = 2 THEN cast('NaN' AS double) ELSE c_acctbal END"), ("places", "CASE WHEN c_custkey % 3 = 0 THEN 400 WHEN c_custkey % 3 = 1 THEN 1 ELSE -1 END"))
+_WIDE = (("wide", "concat('21474836', cast(46 + l_linenumber % 3 AS varchar(9)))"),)
+_ZONES = (("zone", "CASE WHEN event_id % 3 = 0 THEN 'Asia/Tokyo' WHEN event_id % 3 = 1 THEN 'America/New_York' ELSE 'Europe/Berlin' END"),)
+_OLD = (("old", "cast(concat('18', cast(10 + l_linenumber * 9 AS varchar(9)), '-07-05 03:04:05') AS timestamp)"),)
 _SPACES = (("spaced", "concat(concat('  ', c_mktsegment), '   ')"),)
 _GEO = (("lat", "20.0 + cast(s_suppkey AS double) / 500"), ("lon", "-80.0 + cast(s_nationkey AS double)"))
 _ORDER_SECONDS = "epoch(date_trunc('second', o_orderdate))::BIGINT"
@@ -92,6 +104,8 @@ CATALOGUE: dict[str, Query] = {
     "str_number_literal": Query("lineitem", "num = 3", "num = '3'", derived=(("num", "cast(l_linenumber AS varchar(9))"),)),
     "datetime_eq": Query("orders", "o_orderdate = '1996-01-02'", f"{_ORDER} = TIMESTAMP '1996-01-02'"),
     "datetime_epoch_literal": Query("orders", "o_orderdate >= 852076800", f"{_ORDER} >= TIMESTAMP '1997-01-01'"),
+    "datetime_beyond": Query("orders", "o_orderdate < 1e18 AND NOT o_orderdate > 99999999999999 AND o_orderdate BETWEEN -1e18 AND 1e18", "TRUE"),
+    "datetime_beyond_none": Query("orders", "o_orderdate >= 1e18 OR o_orderdate < -99999999999999", "FALSE"),
     "datetime_le_seconds": Query("events", "ts <= '2024-01-03T12:00:00'", f"{_EVENT} <= TIMESTAMP '2024-01-03 12:00:00'"),
     "datetime_gt_seconds": Query("events", "ts > '2024-01-03T12:00:00'", f"{_EVENT} > TIMESTAMP '2024-01-03 12:00:00'"),
     "bool_and": Query("lineitem", "l_quantity < 10 AND l_tax > 0.05", "l_quantity < 10 AND l_tax > 0.05"),
@@ -169,6 +183,9 @@ CATALOGUE: dict[str, Query] = {
     "cast_double_string": Query("customer", "CAST(c_acctbal AS STRING)", "printf('%f', c_acctbal)", "VARCHAR"),
     "cast_string_bool": Query("lineitem", "CAST(bool_text AS BOOL)", "CASE lower(bool_text) WHEN 'true' THEN TRUE WHEN '1' THEN TRUE WHEN 'false' THEN FALSE WHEN '0' THEN FALSE END", "BOOLEAN", _NUMS),
     "cast_string_int": Query("lineitem", "CAST(num_text AS INT)", "regexp_extract(num_text, '^\\s*([+-]?\\d+)', 1)", "INTEGER", _NUMS),
+    "cast_string_int_range": Query("lineitem", "COALESCE(CAST(wide AS INT), -1)", "coalesce(TRY_CAST(wide AS INTEGER), -1)", "INTEGER", _WIDE),
+    "cast_string_int_range_constant": Query("lineitem", "COALESCE(CAST('2147483648' AS INT), -1) + COALESCE('2147483646'::INT, -1)", "2147483645", "INTEGER"),
+    "cast_double_int_range_constant": Query("lineitem", "COALESCE(CAST(3e9 AS INT), -1)", "-1", "INTEGER"),
     "cast_string_double": Query("lineitem", "CAST(dec_text AS NUMERIC)", "dec_text", "DOUBLE", _NUMS),
     "cast_string_datetime": Query("lineitem", "CAST(iso AS DATETIME)", "strptime(iso, '%Y-%m-%dT%H:%M:%S')", "TIMESTAMP", _DATES),
     "cast_string_datetime_us": Query("lineitem", "us::DATETIME", "strptime(us, '%m-%d-%Y %H:%M')", "TIMESTAMP", _DATES),
@@ -180,6 +197,7 @@ CATALOGUE: dict[str, Query] = {
     "concat_all_null": Query("lineitem", "CONCAT(n_flag)", "nullif(n_flag, '')", "VARCHAR", _NL),
     "length": Query("documents", "LENGTH(text)", "strlen(text)", "INTEGER"),
     "lower": Query("part", "LOWER(p_brand)", "lower(p_brand)", "VARCHAR"),
+    "lower_unicode": Query("documents", "LOWER(text)", "lower(text)", "VARCHAR"),
     "upper": Query("part", "UPPER(p_name)", "upper(p_name)", "VARCHAR"),
     "substr2": Query("part", "SUBSTR(p_name, 3)", "CASE WHEN 3 <= length(p_name) THEN substr(p_name, 3) END", "VARCHAR"),
     "substr3": Query("part", "SUBSTRING(p_name, 2, 4)", "CASE WHEN 2 <= length(p_name) THEN substr(p_name, 2, 4) END", "VARCHAR"),
@@ -192,6 +210,9 @@ CATALOGUE: dict[str, Query] = {
     "coalesce_promoted": Query("lineitem", "COALESCE(n_line, l_tax)", "coalesce(n_line::DOUBLE, l_tax)", "DOUBLE", _NL),
     "round1": Query("lineitem", "ROUND(l_quantity / 4 + 0.1)", "round(l_quantity / 4 + 0.1::DOUBLE)", "DOUBLE"),
     "round2": Query("lineitem", "ROUND(l_linenumber / 7.0, 3)", "round(l_linenumber / 7.0::DOUBLE, 3)", "DOUBLE"),
+    "floor_huge": Query("customer", "FLOOR(huge)", "floor(huge)", "DOUBLE", _HUGE),
+    "ceil_huge": Query("customer", "CEIL(huge)", "ceil(huge)", "DOUBLE", _HUGE),
+    "round2_column": Query("customer", "ROUND(c_acctbal, places)", "CASE places WHEN 400 THEN c_acctbal WHEN 1 THEN round(c_acctbal * 10) / 10 ELSE round(c_acctbal * 0.1::DOUBLE) / 0.1::DOUBLE END", "DOUBLE", _HUGE),
     "floor": Query("customer", "FLOOR(c_acctbal)", "floor(c_acctbal)", "DOUBLE"),
     "ceil": Query("customer", "CEIL(c_acctbal)", "ceil(c_acctbal)", "DOUBLE"),
     "sum_row": Query("lineitem", "SUM(l_tax, l_discount)", "l_tax + l_discount", "DOUBLE"),
@@ -222,19 +243,30 @@ CATALOGUE: dict[str, Query] = {
     "trunc_century": Query("orders", "DATE_TRUNC('century', o_orderdate)", "make_timestamp(year(o_orderdate) // 100 * 100, 1, 1, 0, 0, 0)", "TIMESTAMP"),
     "trunc_millennium": Query("events", "DATE_TRUNC('millennium', ts)", "make_timestamp(year(ts) // 1000 * 1000, 1, 1, 0, 0, 0)", "TIMESTAMP"),
     "convert_tz": Query("events", "CONVERT_TZ(ts, 'America/New_York')", f"timezone('America/New_York', ({_EVENT} || '+00')::TIMESTAMPTZ)", "TIMESTAMP"),
+    "convert_tz_column": Query("events", "CONVERT_TZ(ts, zone)", f"timezone(zone, ({_EVENT} || '+00')::TIMESTAMPTZ)", "TIMESTAMP", _ZONES),
+    **{f"trunc_{p}_before_1900": Query("lineitem", f"DATE_TRUNC('{p}', old)", d, "TIMESTAMP", _OLD) for p, d in (
+        ("day", "date_trunc('day', old)"), ("quarter", "date_trunc('quarter', old)"), ("week", "date_trunc('day', old) - dayofweek(old) * INTERVAL 1 DAY"),
+        ("century", "make_timestamp(year(old) // 100 * 100, 1, 1, 0, 0, 0)"), ("millennium", "make_timestamp(year(old) // 1000 * 1000, 1, 1, 0, 0, 0)"),
+    )},
+    **{f"now_{n}": Query("orders", f"DATE_TRUNC('day', {c}) = CURRENT_DATE AND {c} >= CURRENT_DATE AND o_orderdate < {c}", "o_orderdate < current_date") for n, c in (
+        ("now", "NOW()"), ("getdate", "GETDATE()"), ("current_timestamp", "CURRENT_TIMESTAMP()"),
+    )},
+    "now_current_date": Query("orders", "CURRENT_DATE = DATE_TRUNC('day', CURRENT_DATE) AND o_orderdate + 40000 > CURRENT_DATE", f"{_ORDER} + INTERVAL 40000 DAY > current_date"),
     "now_family": Query("orders", "o_orderdate < NOW() AND o_orderdate < GETDATE() AND o_orderdate < CURRENT_TIMESTAMP() AND o_orderdate < CURRENT_DATE", "o_orderdate < current_date"),
     "timestamp_literal": Query("events", "ts >= TIMESTAMP '2024-01-05 06:07:08'", "ts >= TIMESTAMP '2024-01-05 06:07:08'"),
     "timestamp_literal_zone": Query("events", "ts < '2024-01-05T06:07:08+02:00'", "ts < TIMESTAMP '2024-01-05 04:07:08'"),
     "interval_literal_string_compare": Query("lineitem", "span = INTERVAL '3 DAYS'", "lower(span) = '3 days'", derived=(("span", "concat(cast(l_linenumber AS varchar(9)), ' days')"),)),
     "geo_distance": Query("supplier", "ROUND(GEO_DISTANCE(lat, lon, 40.0, -83.0), 6)", f"round({_HAVERSINE}, 6)", "DOUBLE", _GEO),
+    "number_underscore": Query("lineitem", "l_orderkey < 1_000", "l_orderkey < 1000"),
+    "number_exponent": Query("lineitem", "l_extendedprice < 1.5e4 AND l_quantity > 1e1", "l_extendedprice < 15000 AND l_quantity > 10"),
+    "semicolon": Query("lineitem", "l_linenumber = 3;", "l_linenumber = 3"),
+    "no_expression": Query("lineitem", "  ", "TRUE"),
     "comment_and_quotes": Query("part", "p_brand = 'brand#11' /* either */ OR p_name = 'it''s' -- or this\n", "lower(p_brand) = 'brand#11' OR lower(p_name) = 'it''s'"),
 }
 
 
 def streaming_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The engine's filter on a stream of the events table, run to its end; the rows that came out."""
-    import uuid
-
     from columnade.streaming import filter_stream
 
     like = read_table(spark, sf_dir, "events")
@@ -247,9 +279,140 @@ def streaming_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; one of this machine only where all tasks run on it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(found or 'file://' + tempfile.mkdtemp()).rstrip('/')}/columnade/{uuid.uuid4().hex}"
+
+
+#: Columns of ``nation`` as a JSON document defines them.
+_NATION = [{"name": "n_nationkey", "type": "INT"}, {"name": "n_regionkey", "type": "INT"}, {"name": "n_name", "type": "STRING"}]
+
+
+def _nation_rows(spark: SparkSession, sf_dir: str) -> list[dict]:
+    """The rows of ``nation``, a table of at most some hundred."""
+    return [r.asDict() for r in read_table(spark, sf_dir, "nation").select(*[c["name"] for c in _NATION]).limit(1000).collect()]
+
+
+def json_document_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nation`` through a JSON document of columns, rows and queries; the document's own query filters it."""
+    with tempfile.TemporaryDirectory() as folder:
+        path = Path(folder, "nation.json")
+        path.write_text(json.dumps({"table": {"name": "nation", "columns": _NATION, "rows": _nation_rows(spark, sf_dir)}, "queries": [{"sql": "n_regionkey IN (1, 3) AND n_name > 'c'"}]}))
+        df, asked = json_document(spark, path)
+    return Engine(spark).filter(df, asked[0]["sql"]).select("n_nationkey", "n_name")
+
+
+def json_documents_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder with a document for each region of ``nation``; rows of all that each one's query lets through."""
+    rows, found = _nation_rows(spark, sf_dir), []
+    with tempfile.TemporaryDirectory() as folder:
+        for region in sorted({r["n_regionkey"] for r in rows}):
+            path = Path(folder, str(region), "part.json")
+            path.parent.mkdir()
+            path.write_text(json.dumps({"table": {"name": "part", "columns": _NATION, "rows": [r for r in rows if r["n_regionkey"] == region]}, "queries": [{"sql": f"n_nationkey > {5 * region}"}]}))
+        for _, df, asked in json_documents(spark, folder):
+            found.append(Engine(spark).filter(df, asked[0]["sql"]))
+    return reduce(DataFrame.unionByName, found).select("n_nationkey", "n_name")
+
+
+def json_rows_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files: the definition of ``supplier``, and its rows as JSON that Spark writes and reads."""
+    where = f"{_shared_folder(spark)}-rows"
+    read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").write.json(where)
+    with tempfile.TemporaryDirectory() as folder:
+        definition = Path(folder, "definition.json")
+        definition.write_text(json.dumps({"columns": [{"name": "s_suppkey", "type": "INT"}, {"name": "s_name", "type": "STRING"}, {"name": "s_acctbal", "type": "DOUBLE"}]}))
+        df = json_rows(spark, str(definition), where)
+    return Engine(spark).filter(df, "s_acctbal > 0").select("s_suppkey", "s_name", "s_acctbal")
+
+
+def ids_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of a filter through the sink, read back."""
+    where = f"{_shared_folder(spark)}-ids"
+    write_ids(Engine(spark).filter(read_table(spark, sf_dir, "orders"), "o_totalprice > 200000"), where, "o_orderkey")
+    return spark.read.text(where).select(F.col("value").cast("long").alias("o_orderkey"))
+
+
+def registered_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A host's function with two arguments, in a predicate and in a value."""
+    engine = Engine(spark)
+    engine.register(user_function("NET", ("DOUBLE", "DOUBLE"), "DOUBLE", lambda price, off: price * (1 - off), "price less discount"))
+    df = read_table(spark, sf_dir, "lineitem")
+    return engine.project(engine.filter(df, "NET(l_extendedprice, l_discount) > 20000 AND net(1, 0) = 1"), {"v": "NET(l_extendedprice, l_discount)"}, ["l_orderkey", "l_linenumber"])
+
+
+def replaced_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A host's function in the place of a built-in one, and another engine that still has the built-in."""
+    engine = Engine(spark)
+    engine.register(user_function("LENGTH", ("STRING",), "INT", lambda c: F.length(c) + 100))
+    df = read_table(spark, sf_dir, "part")
+    return Engine(spark).project(engine.project(df, {"mine": "LENGTH(p_name)"}, ["p_partkey", "p_name"]), {"built_in": "LENGTH(p_name)"}, ["p_partkey", "mine"])
+
+
+def reserved_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column's name that a host has reserved is refused; other engines know it. One row says both."""
+    engine, df = Engine(spark), read_table(spark, sf_dir, "part")
+    engine.reserve("p_size")
+    try:
+        engine.filter(df, "p_size > 10")
+        refused = False
+    except (ParseError, AnalysisError):
+        refused = True
+    return Engine(spark).filter(df, "p_size > 10").agg(F.count("*").alias("n")).select("n", F.lit(refused).alias("refused"))
+
+
+def resolved_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that the host resolves itself."""
+    df = read_table(spark, sf_dir, "lineitem")
+    return Engine(spark).filter(df, "l_quantity > 60", columns={"l_quantity": F.col("l_quantity") + 20}).select("l_orderkey", "l_linenumber")
+
+
+def introspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of some well-known functions and operators an engine lists, each with a description."""
+    known, want = Engine(spark).functions(), ("AND", "BETWEEN", "LIKE", "ROUND", "DATE_TRUNC", "GEO_DISTANCE", "CONVERT_TZ", "COALESCE")
+    return spark.range(1).select(F.lit(sum(bool(known.get(w)) for w in want)).alias("listed"), F.lit(len(known) >= 67).alias("all_of_them"))
+
+
+def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sections the explanation of an expression has; nothing is read but the schema."""
+    said = Engine(spark).explain("p_size > 1 AND 1 = 1", read_table(spark, sf_dir, "part").schema)
+    return spark.range(1).select(*[F.lit(f"== {w} ==" in said).alias(w.lower()) for w in ("Tokens", "Tree", "Bound", "Folded")])
+
+
+def refused_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of some wrong expressions are refused with a message before any row is read."""
+    schema, wrong = read_table(spark, sf_dir, "orders").schema, ("o_totalprice ? 3", "o_totalprice >", "nothing = 1", "NO_SUCH(1)", "o_orderdate::INT", "ROUND()", "SELECT = 1", "(o_orderkey = 1")
+    refused = 0
+    for text in wrong:
+        try:
+            Engine(spark).compile(text, schema)
+        except (ParseError, AnalysisError) as e:
+            refused += bool(str(e))
+    return spark.range(1).select(F.lit(refused).alias("refused"), F.lit(len(wrong)).alias("wrong"))
+
+
+_HOST: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "streaming_filter": (streaming_filter, "SELECT event_id, event_type, value FROM events WHERE lower(event_type) = 'click' AND value > 10"),
+    "json_document_source": (json_document_source, "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 3) AND lower(n_name) > 'c'"),
+    "json_documents_source": (json_documents_source, "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 5 * n_regionkey"),
+    "json_rows_source": (json_rows_source, "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 0"),
+    "ids_sink": (ids_sink, "SELECT o_orderkey FROM orders WHERE o_totalprice > 200000"),
+    "registered_function": (registered_function, "SELECT l_orderkey, l_linenumber, l_extendedprice * (1::DOUBLE - l_discount) AS v FROM lineitem WHERE l_extendedprice * (1::DOUBLE - l_discount) > 20000"),
+    "replaced_function": (replaced_function, "SELECT p_partkey, length(p_name)::INTEGER + 100 AS mine, strlen(p_name)::INTEGER AS built_in FROM part"),
+    "reserved_word": (reserved_word, "SELECT count(*) AS n, TRUE AS refused FROM part WHERE p_size > 10"),
+    "resolved_columns": (resolved_columns, "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity + 20 > 60"),
+    "introspection": (introspection, "SELECT 8 AS listed, TRUE AS all_of_them"),
+    "explained": (explained, "SELECT TRUE AS tokens, TRUE AS tree, TRUE AS bound, TRUE AS folded"),
+    "refused_expressions": (refused_expressions, "SELECT 8 AS refused, 8 AS wrong"),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{name: q.run for name, q in CATALOGUE.items()}, "streaming_filter": streaming_filter}
+    return {**{name: q.run for name, q in CATALOGUE.items()}, **{name: run for name, (run, _) in _HOST.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{name: q.oracle() for name, q in CATALOGUE.items()}, "streaming_filter": "SELECT event_id, event_type, value FROM events WHERE lower(event_type) = 'click' AND value > 10"}
+    return {**{name: q.oracle() for name, q in CATALOGUE.items()}, **{name: sql for name, (_, sql) in _HOST.items()}}

@@ -55,10 +55,15 @@ def json_documents(spark: SparkSession, folder: str | Path) -> Iterator[tuple[Pa
 
 
 def json_rows(spark: SparkSession, definition: str, rows: str) -> DataFrame:
-    """Two files: a table definition, and newline-separated or listed JSON objects that Spark reads by that schema."""
+    """Two files: a table definition, and JSON objects (one a line, or one list) that Spark reads by that schema.
+
+    Objects that stand one a line are read by many tasks; a list is one task's.
+    """
     columns = json.loads(Path(definition).read_text(encoding="utf-8"))["columns"]
     schema = T.StructType([T.StructField(c["name"], _SPARK.get(c.get("type"), T.StringType())) for c in columns])
-    return spark.read.schema(schema).option("multiLine", True).json(rows)
+    first = spark.read.text(rows).where("trim(value) <> ''").first()
+    listed = first is not None and first.value.lstrip("\ufeff \t").startswith("[")
+    return spark.read.schema(schema).option("multiLine", listed).json(rows)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

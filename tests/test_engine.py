@@ -167,3 +167,62 @@ def test_strict_logic_like_a_small_evaluator(spark, engine, tree):
     want = [(r[0], run(tree, r)) for r in rows]
     assert sorted((r.i, r.v) for r in engine.project(df, {"v": text(tree)}, ["i"]).collect()) == want
     assert sorted(r.i for r in engine.filter(df, text(tree)).collect()) == [i for i, v in want if v]
+
+
+@pytest.mark.parametrize("text, wrong", [("{} + 1", "2147483647"), ("{} * 2", "-2147483648")])
+def test_overflow_of_constants_and_columns(spark, text, wrong):
+    """A constant that leaves INT raises as a column does, instead of growing."""
+    engine, df = Engine(spark), spark.createDataFrame([(int(wrong),)], "n int")
+    for expression in (text.format("n"), text.format(wrong)):
+        with pytest.raises(Exception, match="ARITHMETIC_OVERFLOW"):
+            engine.project(df, {"v": expression}).collect()
+    assert engine.value("2147483646 + 1") == 2147483647 and engine.value("9999999999 + 1") == 10000000000
+
+
+def test_conversions_of_constants_and_columns(spark):
+    """Constants and columns agree at the ends of what a type holds."""
+    texts = ["2147483647", "2147483648", " -2147483648x", "-2147483649", "12.9", "x"]
+    numbers = [2147483647.5, 2147483648.0, -2147483648.9, -3e9, float("nan"), 1e300]
+    engine = Engine(spark)
+    df = spark.createDataFrame(list(zip(texts, numbers, strict=True)), "s string, d double")
+    got = engine.project(df, {"i": "s::INT", "j": "d::INT"}).collect()
+    assert [r.i for r in got] == [engine.value(f"'{x}'::INT") for x in texts]
+    assert [r.j for r in got][:4] + [None] == [engine.value(f"({x!r})::INT") for x in numbers[:4]] + [None]
+
+
+DATES = [
+    ("2024", "2024-01-01 00:00:00"), ("2024-3", "2024-03-01 00:00:00"), (" 2024-03-09 ", "2024-03-09 00:00:00"), ("2024-03-09T7", "2024-03-09 07:00:00"),
+    ("2024-03-09x07:08", "2024-03-09 07:08:00"), ("2024-03-09 07:08:09.25", "2024-03-09 07:08:09"), ("2024-03-09T07:08:09Z", "2024-03-09 07:08:09"),
+    ("2024-03-09T07:08:09 +0130", "2024-03-09 05:38:09"), ("2024-03-09T07:08:09-10:00", "2024-03-09 17:08:09"), ("3-9-2024 1:2", "2024-03-09 01:02:00"),
+    ("3-2024", "2024-03-01 00:00:00"), ("2024-13-01", None), ("2024-02-30", None), ("2024-01-01 24:00", None), ("2024-01-01 10:61", None), ("2024-01-01 10:10:60", None),
+    ("0000-01-01", None), ("", None), ("nothing", None), ("\u0001|2024|1|1", None), ("20240101", None),
+]
+
+
+def test_dates_in_text(spark):
+    """Each form of a date, as a column and as a constant."""
+    engine = Engine(spark)
+    df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(DATES)], "i int, s string")
+    got = [r.v for r in engine.project(df, {"v": "(s::DATETIME)::STRING"}, ["i"]).orderBy("i").collect()]
+    want = [None if at is None else at.replace(" ", "T") for _, at in DATES]
+    assert got == want
+    from columnade.plans.convert import datetime_text
+    from columnade.plans.types import parse_datetime
+
+    assert [None if parse_datetime(text) is None else datetime_text(parse_datetime(text)) for text, _ in DATES] == want
+
+
+def test_json_rows(spark, tmp_path):
+    """Rows one a line, as one list over lines, and none at all."""
+    from columnade.sources import json_documents, json_rows, write_ids
+
+    definition = tmp_path / "definition.json"
+    definition.write_text('{"columns": [{"name": "id", "type": "STRING"}, {"name": "n", "type": "INT"}, {"name": "other", "type": "BLOB"}]}')
+    for k, text in enumerate(('{"id": "a", "n": 1}\n\n{"id": "b", "extra": 2}\n', '\n[\n{"id": "a",\n "n": 1},\n{"id": "b"}]', "")):
+        rows = tmp_path / f"rows{k}.json"
+        rows.write_text(text)
+        df = json_rows(spark, str(definition), str(rows))
+        assert [(r.id, r.n, r.other) for r in df.collect()] == ([("a", 1, None), ("b", None, None)] if text else [])
+    write_ids(df, str(tmp_path / "ids"))
+    assert spark.read.text(str(tmp_path / "ids")).count() == 0
+    assert list(json_documents(spark, tmp_path / "nothing")) == []
