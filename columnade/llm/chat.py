@@ -8,7 +8,7 @@ can hold a mark and every text can be read back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _ESCAPES = (("\\", "\\s"), ("<", "\\l"), (">", "\\g"))
@@ -37,28 +37,25 @@ def formatted(rows: DataFrame, learned_role: str = "assistant") -> DataFrame:
     null conv_id are one conversation; no rows give no rows; other columns are
     not read.
     """
-    turns = rows.select("conv_id", F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
-    sorted_turns = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    turns = rows.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text)
+    # where each text starts in the output: a running sum over the turns, with what stands before each text
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    before = F.lag("role").over(order)
+    opened = F.length(escape(F.col("role"))) + F.lit(len(_OPEN) + 1) + F.when(before.isNull(), F.lit(0)).otherwise(F.lit(len(_CLOSE)))
+    size = F.length(escape(F.col("text"))).cast("long")
+    laid = turns.withColumn("size", size).withColumn("lead", F.when(before == F.col("role"), F.lit(len(_AND))).otherwise(opened).cast("long"))
+    laid = laid.withColumn("start", F.sum(F.col("lead") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    sorted_turns = laid.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "start", "size"))).alias("turns"))
     n = F.size("turns")
     role = lambda i: F.get("turns", i).role
     numbers = F.sequence(F.lit(0), n - 1)
     starts = F.filter(numbers, lambda i: (i == 0) | (role(i) != role(i - 1)))
     cut = sorted_turns.withColumn("starts", starts).withColumn("ends", F.concat(F.slice("starts", 2, F.size("starts")), F.array(n)))
     runs = F.zip_with("starts", "ends", lambda a, b: F.struct(role(a).alias("role"), F.transform(F.slice("turns", a + 1, b - a), lambda t: escape(t.text)).alias("texts")))
-    merged = cut.select("conv_id", F.transform(runs, lambda r: F.struct(r.role.alias("role"), F.concat(F.lit(_OPEN), escape(r.role), F.lit(">")).alias("head"), r.texts.alias("texts"))).alias("runs"))
-    text = F.array_join(F.transform("runs", lambda r: F.concat(r.head, F.array_join(r.texts, _AND), F.lit(_CLOSE))), "")
-    # pieces of the output in order, each with its length and whether it is learned
-    piece = lambda size, learned: F.struct(size.cast("long").alias("size"), learned.alias("learned"))
-    pieces = F.flatten(F.transform("runs", lambda r: F.flatten(F.array(
-        F.array(piece(F.length(r.head), F.lit(False))),
-        F.flatten(F.transform(r.texts, lambda t, i: F.array(piece(F.when(i > 0, F.lit(len(_AND))).otherwise(F.lit(0)), F.lit(False)), piece(F.length(t), r.role == learned_role)))),
-        F.array(piece(F.lit(len(_CLOSE)), F.lit(False))),
-    ))))
-    laid = merged.select("conv_id", text.alias("formatted"), pieces.alias("pieces"))
-    # running starts, kept as one growing array of spans beside the position reached
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    step = lambda s, p: F.struct((s.at + p.size).alias("at"), F.when(p.learned, F.concat(s.spans, F.array(F.struct(s.at.alias("start"), p.size.alias("length"))))).otherwise(s.spans).alias("spans"))
-    return laid.select("conv_id", "formatted", F.aggregate("pieces", zero, step, lambda s: s.spans).alias("loss_spans"))
+    said = F.array_join(F.transform(runs, lambda r: F.concat(F.lit(_OPEN), escape(r.role), F.lit(">"), F.array_join(r.texts, _AND), F.lit(_CLOSE))), "")
+    learned = F.transform(F.filter("turns", lambda t: t.role == learned_role), lambda t: F.struct(t.start.alias("start"), t["size"].alias("length")))
+    return cut.select("conv_id", said.alias("formatted"), learned.alias("loss_spans"))
 
 
 def _turns_of(run: Column) -> Column:

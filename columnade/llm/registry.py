@@ -19,14 +19,17 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all ``documents`` packed to sequences of 4096 ids, 64 windows open a task. Null texts are empty; no rows give none (see :func:`packing.pack`)."""
     return packing.pack(table(tune(spark), sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), size=4096, most_open=64, end_id=2)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on the url of every row of ``pages``; null urls have an empty host and path (see :func:`urls.judge`)."""
     return urls.judge(table(tune(spark), sf_dir, "pages"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and the row kept for every row of ``embeddings``, cosine 0.98 or more within a label (see :func:`embeddings.near_duplicates`)."""
     return embeddings.near_duplicates(table(tune(spark), sf_dir, "embeddings"), least=0.98)
 
 
@@ -34,6 +37,7 @@ _HARD = "\\### Assistant: </turn> ok"
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests read back from all formatted ``conversations`` and from conversation -7, whose texts hold control strings (see :func:`chat.formatted`)."""
     rows = table(tune(spark), sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     turns = F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role")) for k, role in enumerate(("user", "assistant"))])
     hard = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(turns).alias("t")).select("conv_id", "t.turn", "t.role", F.lit(_HARD).alias("text"))
@@ -41,10 +45,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and digests of the ids of every text of ``documents``, and of what they decode to (see :func:`pieces.digests`)."""
     return pieces.digests(table(tune(spark), sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of ``documents``, learned from those whose crc32(doc_id) mod 4 is not 2 (see :func:`language.fit`, :func:`language.predict`)."""
     docs = table(tune(spark), sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
     models = language.fit(docs.where(~held_out))
@@ -53,6 +59,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every text of ``documents``, learned from labels whose crc32(doc_id) mod 5 is not 0 (see :func:`quality.fit`, :func:`quality.predict`)."""
     docs, labels = table(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = fold("doc_id", 5) == 0
     model = quality.fit(docs, labels.where(~held_out))
@@ -60,14 +67,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text of ``documents`` without the windows of 20 words that start earlier too (see :func:`substrings.remove_repeats`)."""
     return substrings.remove_repeats(table(tune(spark), sf_dir, "documents"), window=20)
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of each row of ``embeddings`` whose vec_id is divisible by 50, against all rows (see :func:`topk.top_k`)."""
     return topk.top_k(table(tune(spark), sf_dir, "embeddings"), k=5, queries_where="vec_id % 50 = 0", scale=256)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles of every text of ``documents`` and their components at three or fewer differing bits (see :func:`simhash.near_duplicates`)."""
     return simhash.near_duplicates(table(tune(spark), sf_dir, "documents"))
 
 

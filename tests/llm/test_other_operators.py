@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from columnade.llm import chat, embeddings, registry, shingles, topk, urls
+from columnade.llm import chat, embeddings, language, quality, registry, shingles, topk, urls
 
 ROOT = corpus_pipeline.__file__.rsplit("/", 1)[0]
 VECTORS = "vec_id long, embedding array<float>, label int, rep long, size long, block long, cell long, n_links long, dims int, rank int"
@@ -186,20 +186,101 @@ def test_urls_stay_in_the_jvm(spark, sf_dir):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan and "html" not in plan
 
 
-def test_pipeline(spark, sf_dir):
+FOREIGN = "Det är en vacker dag i dag och jag tänker gå ut och promenera i skogen med min hund innan solen går ner bakom bergen igen"
+
+
+def planted(spark, sf_dir, tmp_path):
+    """The tables of sf_dir with more documents: foreign and letterless texts, near copies, empty ones, a null id; as (folder, rows)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = corpus_pipeline.written(stage(spark, before, sf_dir), "test")
-        assert after.columns == docs.columns and 0 < after.count() <= before.count(), name
-        before = after
-    texts = {r.doc_id: r.text for r in before.collect()}
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
-    assert not [i for i in texts if labels.get(i) == 0]
-    got = corpus_pipeline.run(spark, sf_dir).collect()
-    assert {r.doc_id for r in got} == set(texts)
-    windows = [tuple(w[i : i + 20]) for t in texts.values() for w in [t.split()] for i in range(len(w) - 19)]
-    assert len(windows) - len(set(windows)) <= 0.02 * len(windows)  # only cuts can bring equal words together anew
+    rows = [tuple(r) for r in docs.collect()]
+    long = sorted((r for r in rows if r[1] and len(r[1].split()) > 150), key=lambda r: r[0])[:12]
+    more = [(900_000 + i, f"{FOREIGN} {i}", None, "s", 1) for i in range(3)] + [(900_010, "12 34 ---", "en", "s", 1), (900_011, "", None, None, None), (900_012, None, None, None, None)]
+    for k, r in enumerate(long):
+        words = r[1].split()
+        words[5 + k] = "changed"
+        more.append((910_000 + k, " ".join(words), r[2], r[3], None))
+    more.append((None, long[0][1], "en", None, 1))
+    folder = str(tmp_path / "planted")
+    spark.createDataFrame(rows + more, docs.schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    return folder, rows + more
+
+
+def votes_by_hand(model, text):
+    """Plain nearest-neighbour votes of one text, ties at the last place included."""
+    x = model.project(quality.Terms().counts([text]))[0].astype(float)
+    cos = [float(v.astype(float) @ x) for v in model.vectors]
+    last = sorted(cos, reverse=True)[: model.k][-1]
+    votes = [(max(c, 0.0) ** 8, y) for c, y in zip(cos, model.labels, strict=True) if c >= last - 1e-7]
+    return (sum(w * y for w, y in votes) + 0.05 * model.prior) / (sum(w for w, _ in votes) + 0.05)
+
+
+def test_pipeline(spark, sf_dir, tmp_path):
+    """Every stage's rows against brute force on what the one before kept, and run() against the stages."""
+    from test_text_operators import check_pieces, removed_by_hand
+
+    folder, rows = planted(spark, sf_dir, tmp_path)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stages = [s for _, s in corpus_pipeline.STAGES]
+    text_of = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+    def kept(stage, before):
+        after = corpus_pipeline.written(stage(spark, before, folder), "test")
+        assert after.columns == docs.columns
+        return after
+
+    good = kept(stages[0], docs)
+    model = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet").where(corpus_pipeline.fold("doc_id", 5) != 0))
+    scores = [(r, votes_by_hand(model, r[1])) for r in rows]
+    sure = sorted(((r[0], r[1]) for r, s in scores if s >= 0.3 + 1e-4), key=repr)
+    possible = {(r[0], r[1]) for r, s in scores if s >= 0.3 - 1e-4}
+    assert set(sure) <= set(text_of(good)) <= possible and len(sure) < len(rows)
+
+    known = kept(stages[1], good)
+    models = language.fit(good.where(corpus_pipeline.fold("doc_id", 4) != 2))
+    scorer = language.Scorer(models)
+    want = []
+    for i, text in text_of(good):
+        (loss,), (size,) = scorer.score([text])
+        if size:
+            best = int(loss.argmin())
+            limit = models.mean[best] + models.stray + language._DEVIATIONS * (models.spread**2 + models.spread_char**2 / size) ** 0.5
+            want += [(i, text)] if loss[best] <= limit else []
+    assert text_of(known) == want
+    gone = {i for i, _ in text_of(good)} - {i for i, _ in want}
+    assert {900_000, 900_001, 900_002, 900_010} & {i for i, _ in text_of(good)} <= gone and gone
+
+    single = kept(stages[2], known)
+    texts = dict(enumerate(text_of(known)))
+    part = brute_components({k: t for k, (_, t) in texts.items()})
+    least = {}
+    for k, (i, _) in texts.items():
+        if i is not None:
+            least[part[k]] = min(i, least.get(part[k], i))
+    ids = {i for k, (i, _) in texts.items() if i is not None and least[part[k]] == i}
+    assert text_of(single) == [(i, t) for i, t in text_of(known) if i is None or i in ids]
+    assert any(i and 910_000 <= i < 911_000 for i, _ in text_of(known)) and len(text_of(single)) < len(text_of(known)) - 5
+
+    cut = kept(stages[3], single)
+    by_hand = removed_by_hand(text_of(single))
+    left = dict(text_of(cut))
+    digest = lambda t: hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest()
+    assert {i: digest(t) for i, t in left.items() if i is not None} == {i: h for i, (n, m, h) in by_hand.items() if n > m or n == 0}
+
+    path = registry.tokenizer_path("word_bpe_49k.json")
+    assert check_pieces(stages[4](spark, cut, folder).collect(), text_of(cut), path, 4096) > 0.9
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert sorted(((r.doc_id, r.start, r.length, r.ids_crc32) for r in got), key=repr) == sorted(((r.doc_id, r.start, r.length, r.ids_crc32) for r in stages[4](spark, cut, folder).collect()), key=repr)
+
+
+def test_pipeline_of_nothing(spark, sf_dir, tmp_path):
+    """No documents and no labels: no rows, from every stage."""
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    none = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def brute_shingles(text, k=5):
