@@ -74,19 +74,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage: what follows survives the loss of any executor, and
-    several readers see the same rows.
+    several readers see the same rows. The files stay until :func:`discard`
+    or the end of the program.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/columnade/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._columnade_path = path
+    return made
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written` that no plan needs any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/columnade/" in path:
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`written` that no plan needs any more."""
+    for df in tables:
+        path = df.__dict__.get("_columnade_path")
+        if path:
             _remove(df.sparkSession, path)
 
 

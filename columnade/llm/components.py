@@ -64,6 +64,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     (``_HELD``), so no task or driver ever needs a whole component. An empty
     table gives an empty table; links of a node with itself are ignored,
     repeated links count once.
+    The result can be given to :func:`columnade.llm.common.discard`.
     """
     ordered = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = written(map_batches(ordered.distinct(), _contract_batches, "u long, v long"), "links")
@@ -82,4 +83,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         last, now = now, written(map_batches(stars.repartition("v", F.pmod(F.xxhash64("u"), F.lit(1 + mark[0] // _HELD))), _contract_batches, "u long, v long").distinct(), "links")
         discard(last)
     roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component_id")).unionByName(roots.select("node", F.col("node").alias("component_id")))
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("component_id")).unionByName(roots.select("node", F.col("node").alias("component_id")))
+    found._columnade_path = now._columnade_path  # what stands behind it can be discarded
+    return found

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from columnade.llm.common import bounded_sample, map_batches, written
+from columnade.llm.common import bounded_sample, discard, map_batches, written
 from columnade.llm.components import connected_components, contract
 
 #: Vectors of one sequence interval that is stored and joined as a whole, and intervals that are sent to another one together.
@@ -233,9 +233,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, block: int = BLOCK,
     both = homes.unionByName(partners).repartition("block", "part").sortWithinPartitions("block", "part", "role")
     found = written(map_batches(both, _pair_batches(bases, kind, least, eps), "kind int, u long, v long"), "vector-links")
     counts = found.where("kind = 0").groupBy(F.col("u").alias("cls")).agg(F.sum("v").alias("links"))
-    joined = connected_components(found.where("kind = 1").select("u", "v")).withColumnRenamed("node", "cls")
+    tied = connected_components(found.where("kind = 1").select("u", "v"))
+    joined = tied.withColumnRenamed("node", "cls")
     known = classes.drop("embedding").join(counts, "cls", "left").join(joined, "cls", "left")
     known = written(known.select(*key, "rep", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "cls").alias("component")), "vector-components")
+    discard(classes, blocks, pairs, found, tied)
     least_id = known.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = keyed.drop("embedding").join(known.join(least_id, "component").select(*key, "n_links", "component_id"), key).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

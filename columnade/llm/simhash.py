@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from columnade.llm.common import batch, map_batches, written
+from columnade.llm.common import batch, discard, map_batches, written
 from columnade.llm.components import connected_components
 
 _FINGER = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -190,7 +190,7 @@ def _variant(k: Column, half: Column) -> Column:
 
 
 def fingerprint_components(nodes: DataFrame, hot: int = _HOT) -> DataFrame:
-    """``fp, component`` (its smallest fingerprint, as a signed long) of every different ``fp`` of ``nodes`` that links with another.
+    """``node, component_id`` (fingerprints as signed longs, the component's smallest) of every different ``fp`` of ``nodes`` that links with another.
 
     A variant holds the fingerprints of two values of a half. Where a value is
     shared by more than ``hot`` of them, its variants are cut once more, by the
@@ -204,7 +204,7 @@ def fingerprint_components(nodes: DataFrame, hot: int = _HOT) -> DataFrame:
     keys = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: _variant(k, F.when(k < 32, high).otherwise(low)))
     index = nodes.select(F.explode(keys).alias("key"), "fp")
     if crowded.isEmpty():
-        return _joined(map_batches(index.repartition("key").sortWithinPartitions("key"), _links, "u long, v long"))
+        return connected_components(map_batches(index.repartition("key").sortWithinPartitions("key"), _links, "u long, v long"))
     cold = index.join(crowded, "key", "left_anti")
     links = map_batches(cold.repartition("key").sortWithinPartitions("key"), _links, "u long, v long")
     other = F.when(F.shiftright("key", 32) < 32, low).otherwise(high)
@@ -212,11 +212,7 @@ def fingerprint_components(nodes: DataFrame, hot: int = _HOT) -> DataFrame:
     part = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.shiftleft(i.cast("long"), 16).bitwiseOR(_without(quarter(i), i % 16)))
     cut = index.join(crowded, "key", "left_semi").select("key", F.explode(part).alias("part"), "fp")
     hot_links = map_batches(cut.repartition("key", "part").sortWithinPartitions("key", "part"), _hot_links, "u long, v long")
-    return _joined(links.unionByName(hot_links))
-
-
-def _joined(links: DataFrame) -> DataFrame:
-    return connected_components(links).select(F.col("node").alias("fp"), F.col("component_id").alias("component"))
+    return connected_components(links.unionByName(hot_links))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,7 +234,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-nodes")
     found = fingerprint_components(nodes.where("rep is not null").select("fp"))
-    known = written(nodes.join(found, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "fingerprint-components")
+    known = written(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component_id", "fp").alias("component")), "fingerprint-components")
+    discard(nodes, found)
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
     return prints.join(known.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 

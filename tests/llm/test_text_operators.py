@@ -166,7 +166,7 @@ def test_simhash_huge_variant_group(spark, hot):
     for _ in range(4):
         flips ^= np.uint64(1) << r.integers(0, 32, 700).astype(np.uint64)
     values = np.unique(np.concatenate([r.integers(0, 1 << 63, dtype=np.uint64) ^ flips, r.integers(0, 1 << 63, 300, dtype=np.uint64), np.arange(40, dtype=np.uint64) << np.uint64(40)])).view(np.int64)
-    got = {x.fp: x.component for x in simhash.fingerprint_components(spark.createDataFrame([(v,) for v in values.tolist()], "fp long").repartition(3), hot).collect()}
+    got = {x.node: x.component_id for x in simhash.fingerprint_components(spark.createDataFrame([(v,) for v in values.tolist()], "fp long").repartition(3), hot).collect()}
     bits = values.view(np.uint64)
     links = [(int(values[a]), int(values[a + 1 + b])) for a in range(len(values)) for b in np.flatnonzero(np.bitwise_count(bits[a + 1 :] ^ bits[a]) <= 3).tolist()]
     assert got == {n: c for n, c in components_by_hand(links, values.tolist()).items() if n in {x for link in links for x in link}}
