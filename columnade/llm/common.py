@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import gc
 import logging
 import re
@@ -99,6 +100,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     tune(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _settle_allocator()
         try:
             yield from fn(batches)
         finally:
@@ -107,14 +109,24 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
+def _glibc(name: str):
+    return getattr(ctypes.CDLL(None), name, None) if sys.platform == "linux" else None
+
+
+@functools.cache
+def _settle_allocator() -> None:
+    """Arrays of 4 MB or more are given back as soon as they are freed, where the C library is glibc (M_MMAP_THRESHOLD, M_TRIM_THRESHOLD)."""
+    if set_option := _glibc("mallopt"):
+        set_option(-3, 4 << 20)
+        set_option(-1, 8 << 20)
+
+
 def _trim() -> None:
     """Free memory goes back to the system: Python workers live on after a task, and the next one may be another operator's."""
     gc.collect()
     pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+    if trim := _glibc("malloc_trim"):
+        trim(0)
 
 
 def fold(doc_id: str, modulus: int):

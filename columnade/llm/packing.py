@@ -25,7 +25,7 @@ from columnade.llm.remembered import Remembered, blocks
 _NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PRE_TOKENISER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Words remembered, and bytes of text looked at together (one text at least).
-_MEMO, _AT_ONCE = 400_000, 8 << 20
+_MEMO, _AT_ONCE = 400_000, 4 << 20
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 #: Closed sequences that are sent together.
 _CLOSED = 256
