@@ -78,9 +78,9 @@ class Models:
     discounted share under each language; contexts[n] the hashed contexts of
     order n, gamma[n] what each leaves to the next lower order. seen is alpha
     and gamma worked out for every n-gram of full order: -log p under each
-    language. mean is each language's own cross-entropy; stray, spread and
-    spread_char (the part that falls with the length) say how far above it a
-    text may lie.
+    language. mean is what texts of each language cost when every word is
+    charged to the language that it suits best; stray, spread and spread_char
+    (the part that falls with the length) say how far above it a text may lie.
     """
 
     langs: list[str]
@@ -173,7 +173,8 @@ class Scorer:
 
     def _reset(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.models.langs) + 1), np.float32)
+        # under each language, under the best one for the word, and characters
+        self.rows = np.zeros((1024, len(self.models.langs) + 2), np.float32)
 
     def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 50_000):
@@ -183,12 +184,12 @@ class Scorer:
             first = len(self.at)
             while first + len(part) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[first : first + len(part), :-1] = loss
-            self.rows[first : first + len(part), -1] = sizes
+            here = self.rows[first : first + len(part)]
+            here[:, :-2], here[:, -2], here[:, -1] = loss, loss.min(1), sizes
             self.at.update(zip(part, range(first, first + len(part)), strict=True))
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy of each text under each language, and its characters (0: no letter)."""
+    def _found(self, texts: list[str | None]) -> Iterator[Iterator[np.ndarray]]:
+        """The rows of each text's words, in parts."""
         if len(self.at) > _MEMO:
             self._reset()
         split = [words_of(t) for t in texts]
@@ -196,59 +197,75 @@ class Scorer:
         new = [w for w in set().union(*split) if w not in at]
         if new:
             self._learn(new)
+        for words in split:
+            yield (self.rows[np.fromiter(map(at.__getitem__, part), np.int64, len(part))] for part in (words[i : i + (1 << 16)] for i in range(0, len(words), 1 << 16)))
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropy of each text under each language, word by word under the best one, and its characters (0: no letter)."""
         total = np.zeros((len(texts), self.rows.shape[1]))
-        for k, words in enumerate(split):
-            for i in range(0, len(words), 1 << 16):
-                part = words[i : i + (1 << 16)]
-                total[k] += self.rows[np.fromiter(map(at.__getitem__, part), np.int64, len(part))].sum(0, dtype=np.float64)
+        for k, parts in enumerate(self._found(texts)):
+            for rows in parts:
+                total[k] += rows.sum(0, dtype=np.float64)
         size = total[:, -1]
-        return total[:, :-1] / np.maximum(size, 1)[:, None], size
+        loss = total[:, :-1] / np.maximum(size, 1)[:, None]
+        return loss[:, :-1], loss[:, -1], size
+
+    def foreign(self, texts: list[str | None], langs: list[str]) -> np.ndarray:
+        """Cross-entropy of each text, word by word under the best of the languages but its own; infinite without another or a letter."""
+        out = np.full(len(texts), np.inf)
+        for k, parts in enumerate(self._found(texts)):
+            others = [i for i, lang in enumerate(self.models.langs) if lang != langs[k]]
+            cost = size = 0.0
+            for rows in parts:
+                cost += float(rows[:, others].min(1).sum(dtype=np.float64)) if others else np.inf
+                size += float(rows[:, -1].sum(dtype=np.float64))
+            if size:
+                out[k] = cost / size
+        return out
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language (`und` without a letter or model), score, rejection and cross-entropy of each text."""
         m = self.models
         if not m.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool), np.zeros(len(texts))
-        loss, size = self.score(texts)
+        loss, mixed, size = self.score(texts)
         best = loss.argmin(1)
         low = loss[np.arange(len(texts)), best]
         weight = np.exp(-m.scale * np.sqrt(np.maximum(size, 1))[:, None] * (loss - low[:, None]))
         none = size == 0
         score = np.where(none, 0.0, 1.0 / weight.sum(1))
         limit = m.mean[best] + m.stray + _DEVIATIONS * np.sqrt(m.spread**2 + m.spread_char**2 / np.maximum(size, 1))
-        return ["und" if n else m.langs[b] for n, b in zip(none, best, strict=True)], score, none | (low > limit), np.where(none, 0.0, low)
-
-
-def calibrate(models: Models, langs: list[str], loss: np.ndarray, size: np.ndarray) -> Models:
-    """Set the limits of rejection from texts that the models have not seen: their languages, cross-entropies and sizes.
-
-    Foreign texts are learned from too: of each text, how far the best model
-    of the other languages lies above what that language's own texts cost. A
-    text is rejected that strays from its language by ``_STRAY`` of the median
-    of this and by ``_DEVIATIONS`` standard deviations more. The deviation is
-    common to all languages; it has a part between documents (of the longer
-    half) and one that falls with the root of the length, both from medians,
-    which a few odd documents do not move. With one language, a foreign text
-    is one of letters drawn evenly. Languages without such texts reject
-    nothing.
+        return ["und" if n else m.langs[b] for n, b in zip(none, best, strict=True)], score, none | (mixed > limit), np.where(none, 0.0, low)
+
+
+def calibrate(models: Models, langs: list[str], own: np.ndarray, foreign: np.ndarray, size: np.ndarray) -> Models:
+    """Set the limits of rejection from texts that the models have not seen: their languages, what they cost and their sizes.
+
+    A text costs what its words do under the language that suits each best, so
+    that a text in several learned languages is none too foreign. Foreign
+    texts are learned from too: ``foreign`` is what each text costs without
+    the model of its own language. A text is rejected that strays from its
+    language by ``_STRAY`` of the median difference of the two, and by
+    ``_DEVIATIONS`` standard deviations more. The deviation is common to all
+    languages; it has a part between documents (of the longer half) and one
+    that falls with the root of the length, both from medians, which a few odd
+    documents do not move. With one language, a foreign text is one of letters
+    drawn evenly. Languages without such texts reject nothing.
     """
     who = np.array([models.langs.index(x) if x in models.langs else -1 for x in langs], np.int64)
     use = (who >= 0) & (size > 0)
-    who, loss, size = who[use], loss[use], size[use]
+    who, own, foreign, size = who[use], own[use], foreign[use], size[use]
     for k in range(len(models.langs)):
-        own = loss[who == k, k]
-        models.mean[k] = np.median(own) if len(own) else np.inf
+        models.mean[k] = np.median(own[who == k]) if (who == k).any() else np.inf
     if not len(who):
         return models
-    off = np.abs(loss[np.arange(len(who)), who] - models.mean[who])
+    off = np.abs(own - models.mean[who])
     models.spread = 1.4826 * float(np.median(off[size >= np.median(size)]))
     models.spread_char = 1.4826 * float(np.median(off * np.sqrt(size)))
-    excess = loss - np.where(np.isfinite(models.mean), models.mean, -np.inf)
-    excess[np.arange(len(who)), who] = np.inf
-    foreign = excess.min(1)
-    foreign = foreign[np.isfinite(foreign)]
-    even = max(0.0, -float(np.log(models.floor)) - float(models.mean[np.isfinite(models.mean)].mean()))
-    models.stray = _STRAY * float(np.median(foreign) if len(foreign) else even)
+    apart = foreign - own
+    apart = apart[np.isfinite(apart)]
+    even = max(0.0, -float(np.log(models.floor)) - float(np.median(own)))
+    models.stray = _STRAY * float(np.median(apart) if len(apart) else even)
     return models
 
 
@@ -299,17 +316,18 @@ def fit(docs: DataFrame, per_language: int = 400, order: int = 3, most_languages
     if not models.langs:
         return models
     held = docs.sparkSession.sparkContext.broadcast(models)
-    scored = pa.schema([("lang", pa.string()), ("loss", pa.list_(pa.float64())), ("size", pa.float64())])
+    scored = pa.schema([("lang", pa.string()), ("own", pa.float64()), ("other", pa.float64()), ("size", pa.float64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                loss, size = scorer.score(b.column(1).slice(i, 256).to_pylist())
-                yield batch(scored, b.column(0).slice(i, 256), list(loss), size)
+                some, of = b.column(1).slice(i, 256).to_pylist(), b.column(0).slice(i, 256)
+                _, own, size = scorer.score(some)
+                yield batch(scored, of, own, scorer.foreign(some, of.to_pylist()), size)
 
-    rows = map_batches(texts.where(aside).select("lang", "text"), score, "lang string, loss array<double>, size double").collect()
-    return calibrate(models, [r.lang for r in rows], np.array([r.loss for r in rows]).reshape(len(rows), len(models.langs)), np.array([r.size for r in rows], float))
+    rows = map_batches(texts.where(aside).select("lang", "text"), score, "lang string, own double, other double, size double").toArrow()
+    return calibrate(models, rows.column("lang").to_pylist(), *(rows.column(n).to_numpy().astype(float) for n in ("own", "other", "size")))
 
 
 def predict(docs: DataFrame, models: Models) -> DataFrame:
@@ -319,7 +337,8 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
     character (ties: the first in order), `und` where the text is null or has
     no letter (score 0, rejected). score: the share of that language among all,
     by a weight that falls with the excess cross-entropy times the root of the
-    length. rejected: the text is unlike the documents of its language.
+    length. rejected: the text, each word under the language that suits it
+    best, is unlike the documents of every learned language.
     Repeated rows give repeated rows; a null doc_id stays null; no rows give no
     rows; other columns are not read.
     """

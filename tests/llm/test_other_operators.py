@@ -241,11 +241,13 @@ def test_pipeline(spark, sf_dir, tmp_path):
     scorer = language.Scorer(models)
     want = []
     for i, text in text_of(good):
-        (loss,), (size,) = scorer.score([text])
+        (loss,), (mixed,), (size,) = scorer.score([text])
         if size:
             best = int(loss.argmin())
             limit = models.mean[best] + models.stray + language._DEVIATIONS * (models.spread**2 + models.spread_char**2 / size) ** 0.5
-            want += [(i, text)] if loss[best] <= limit else []
+            by_word = [scorer.score([w]) for w in language.words_of(text)]
+            assert np.isclose(mixed, sum(float(m[0].min() * n[0]) for m, _, n in by_word) / size, rtol=1e-4)
+            want += [(i, text)] if mixed <= limit else []
     assert text_of(known) == want
     gone = {i for i, _ in text_of(good)} - {i for i, _ in want}
     assert {900_000, 900_001, 900_002, 900_010} & {i for i, _ in text_of(good)} <= gone and gone
