@@ -460,6 +460,15 @@ def test_quality_hard(spark):
     assert 12 not in [r.doc_id for r in quality.keep_good(docs_of(spark, HARD, CLASH), model).collect()]
 
 
+def test_bounded_sample(spark):
+    from columnade.llm.common import bounded_sample
+
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    some = [r.k for r in bounded_sample(df, "k", 20).collect()]
+    assert len(set(some)) == 20 and some == [r.k for r in bounded_sample(df.repartition(7), "k", 20).collect()]
+    assert {r.k for r in bounded_sample(df.where("k < 30"), "k", 40).collect()} == set(range(30)) and bounded_sample(df.where("false"), "k", 5).count() == 0
+
+
 def test_empty_tables(spark, bpe, piece_model):
     none = docs_of(spark, [])
     assert substrings.remove_repeats(none).count() == simhash.near_duplicates(none).count() == packing.pack(none, bpe).count() == pieces.digests(none, piece_model).count() == 0
