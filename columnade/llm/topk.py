@@ -108,20 +108,17 @@ def top_k(vectors: DataFrame, k: int = 5, queries_where: str = "vec_id % 50 = 0"
 
     Vectors that are null, empty or hold null or non-finite components take no
     part, nor do rows without an id; vectors of different length do not meet.
-    Components whose products could leave 64 bits (a vector of d components
-    with one of sqrt(2^62 / d) or more after scaling) are refused with an
-    error. A repeated vec_id is candidates of their own for other queries, and
+    Nor do vectors whose scores could leave 64 bits: those of d components with
+    one of sqrt(2^62 / d) or more after scaling. A repeated vec_id is candidates of their own for other queries, and
     once a query: its shortest vector, of these the smallest. Fewer candidates
     than k: all of them. No rows give no rows; other columns are not read.
     """
     e = F.col("embedding").cast("array<double>")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = vectors.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & (F.size("embedding") > 0))
+    fits = F.forall(e, lambda x: F.abs(F.floor(x * scale).cast("double")) < F.sqrt(F.lit(2.0**62) / F.size("embedding")))
+    usable = vectors.where(F.col("vec_id").isNotNull() & F.coalesce(finite & fits, F.lit(False)) & (F.size("embedding") > 0))
     rows = usable.select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dims"), F.transform(e, lambda x: F.floor(x * scale).cast("long")).alias("v"))
-    widest = F.max(F.array_max(F.transform(e, lambda x: F.abs(F.floor(x * scale).cast("double")))))
-    size = usable.agg(F.count("*").alias("n"), F.sum(F.expr(queries_where).cast("long")).alias("asked"), F.max(F.size("embedding")).alias("dims"), widest.alias("widest")).first()
-    if size.widest is not None and size.widest * size.widest * size.dims >= 2.0**62:
-        raise ValueError(f"components up to {size.widest:g} after scaling: their inner products may not fit 64 bits")
+    size = usable.agg(F.count("*").alias("n"), F.sum(F.expr(queries_where).cast("long")).alias("asked"), F.max(F.size("embedding")).alias("dims")).first()
     most = max(1, SHARD // (size.dims or 1))
     n_shards, n_asks = max(1, -(-size.n // most)), max(1, -(-(size.asked or 0) // min(most, QUERIES)))
     shards = _gathered(rows, n_shards, "shard")
