@@ -1,11 +1,14 @@
 """Comparisons, BETWEEN, IN, LIKE and the IS family.
 
-Texts compare without regard to case. A bare DATETIME column beside a whole
+Texts compare without regard to case; equality with a short constant becomes
+a list of its spellings, so that it reaches the scan. A bare DATETIME column beside a whole
 second becomes a range on the untruncated column, so that it reaches the scan.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import operator
 
 from pyspark.sql import Column
@@ -28,6 +31,26 @@ def folded(node: Node) -> Column:
     return F.lit(node.value.lower()) if isinstance(node, Lit) and node.value is not None else F.lower(node.column())
 
 
+def spellings(text: str, most: int = 16) -> list[str] | None:
+    """All texts whose lower case is that of a short ASCII text; None where there are more than ``most``, or another character."""
+    if not text.isascii():
+        return None
+    choices = [sorted({c.lower(), c.upper(), *("\u212a" if c in "kK" else "")}) for c in text]  # the Kelvin sign's lower case is k
+    if math.prod(map(len, choices)) > most:
+        return None
+    return ["".join(c) for c in itertools.product(*choices)]
+
+
+def _one_of(value: Node, items: list[Node]) -> Column | None:
+    """A text column against short constants as a list of spellings, which reaches the scan; None where that cannot be."""
+    if not isinstance(value, Ref) or value.type != t.STRING or not all(isinstance(n, Lit) and n.value is not None for n in items):
+        return None
+    found = [spellings(n.value) for n in items]
+    if None in found or sum(map(len, found)) > 64:
+        return None
+    return value.column().isin(*itertools.chain.from_iterable(found))
+
+
 def _second(n: int) -> Column:
     return F.timestamp_seconds(F.lit(n))
 
@@ -62,6 +85,10 @@ def _comparison(op: str) -> FunctionSpec:
             for a, c, name in ((left, right, op), (right, left, _FLIPPED.get(op, op))):
                 if isinstance(a, Ref) and a.type == t.DATETIME and isinstance(c, Lit) and c.value is not None:
                     return _on_range(name, a.raw, c.value)
+            if op in ("=", "!="):
+                for a, c in ((left, right), (right, left)):
+                    if (same := _one_of(a, [c])) is not None:
+                        return same if op == "=" else ~same
             return _OPERATORS[op](folded(left), folded(right)) if left.type == t.STRING else _OPERATORS[op](x, y)
 
         return Call(t.BOOL, left.nullable or right.nullable, op, (left, right), make)
@@ -113,7 +140,9 @@ def _in(negated: bool) -> FunctionSpec:
         items = [b.constant(n, target) if isinstance(n, Lit) else b.to(n, target) for n in items]
 
         def make(*_: Column) -> Column:
-            found = folded(value).isin(*[folded(n) for n in items])
+            found = _one_of(value, items)
+            if found is None:
+                found = folded(value).isin(*[folded(n) for n in items])
             return F.coalesce(~found, F.lit(True)) if negated else found
 
         return Call(t.BOOL, not negated and (value.nullable or any(n.nullable for n in items)), name, (value, *items), make)
