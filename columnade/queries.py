@@ -292,8 +292,11 @@ _NATION = [{"name": "n_nationkey", "type": "INT"}, {"name": "n_regionkey", "type
 
 
 def _nation_rows(spark: SparkSession, sf_dir: str) -> list[dict]:
-    """The rows of ``nation``, a table of at most some hundred."""
-    return [r.asDict() for r in read_table(spark, sf_dir, "nation").select(*[c["name"] for c in _NATION]).limit(1000).collect()]
+    """The rows of ``nation``, which a JSON document holds on the driver; a table that is no small one is refused."""
+    rows = [r.asDict() for r in read_table(spark, sf_dir, "nation").select(*[c["name"] for c in _NATION]).limit(10_001).collect()]
+    if len(rows) > 10_000:
+        raise ValueError("nation has too many rows for a document")
+    return rows
 
 
 def json_document_source(spark: SparkSession, sf_dir: str) -> DataFrame:
