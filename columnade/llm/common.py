@@ -101,6 +101,8 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _settle_allocator()
+        for owner in [m for m in _kept if m != fn.__module__]:
+            _kept.pop(owner)()
         try:
             yield from fn(batches)
         finally:
@@ -109,6 +111,15 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
+#: What clears the memory that an operator's module keeps in this Python worker from task to task.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, clear: Callable[[], None]) -> None:
+    """Say that ``module`` keeps something between tasks; ``clear`` is called when another module's task starts in this worker."""
+    _kept[module] = clear
+
+
 def _glibc(name: str):
     return getattr(ctypes.CDLL(None), name, None) if sys.platform == "linux" else None
 

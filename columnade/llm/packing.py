@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from columnade.llm.common import map_batches, written
+from columnade.llm.common import keeps, map_batches, written
 from columnade.llm.remembered import Remembered, blocks
 
 #: What the word-by-word way relies on, as the tokenizer file states it; a file that states other steps is refused.
@@ -155,6 +155,7 @@ class WordTokenizer:
 
 @functools.lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
+    keeps(__name__, word_tokenizer.cache_clear)
     return WordTokenizer(path)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from columnade.llm.common import batch, map_batches
+from columnade.llm.common import batch, keeps, map_batches
 from columnade.llm.remembered import Remembered, blocks
 
 _SPACE = "▁"
@@ -237,6 +237,7 @@ class PieceEncoder:
 
 @functools.lru_cache(maxsize=2)
 def piece_encoder(path: str) -> PieceEncoder:
+    keeps(__name__, piece_encoder.cache_clear)
     return PieceEncoder(path)
 
 
