@@ -212,7 +212,8 @@ CATALOGUE: dict[str, Query] = {
     "round2": Query("lineitem", "ROUND(l_linenumber / 7.0, 3)", "round(l_linenumber / 7.0::DOUBLE, 3)", "DOUBLE"),
     "floor_huge": Query("customer", "FLOOR(huge)", "floor(huge)", "DOUBLE", _HUGE),
     "ceil_huge": Query("customer", "CEIL(huge)", "ceil(huge)", "DOUBLE", _HUGE),
-    "round2_column": Query("customer", "ROUND(c_acctbal, places)", "CASE places WHEN 400 THEN c_acctbal WHEN 1 THEN round(c_acctbal * 10) / 10 ELSE round(c_acctbal * 0.1::DOUBLE) / 0.1::DOUBLE END", "DOUBLE", _HUGE),
+    # adding zero: rounding gives no negative zero here
+    "round2_column": Query("customer", "ROUND(c_acctbal, places)", "CASE places WHEN 400 THEN c_acctbal WHEN 1 THEN round(c_acctbal * 10) / 10 ELSE round(c_acctbal * 0.1::DOUBLE) / 0.1::DOUBLE END + 0.0::DOUBLE", "DOUBLE", _HUGE),
     "floor": Query("customer", "FLOOR(c_acctbal)", "floor(c_acctbal)", "DOUBLE"),
     "ceil": Query("customer", "CEIL(c_acctbal)", "ceil(c_acctbal)", "DOUBLE"),
     "sum_row": Query("lineitem", "SUM(l_tax, l_discount)", "l_tax + l_discount", "DOUBLE"),
