@@ -4,6 +4,7 @@ import hashlib
 import re
 import subprocess
 import sys
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,33 @@ def test_impact_index_proves_its_stop():
             assert [(-int(s), int(i)) for i, s in zip(got, score, strict=True)] == best
 
 
+def test_impact_index_takes_a_block_at_once():
+    r = np.random.default_rng(4)
+    x = r.standard_normal((16384, 64))
+    values = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    ids, asked = np.arange(16384), np.arange(0, 16384, 16)
+    index = topk.ImpactIndex(ids, values)
+    began = time.thread_time()
+    found = index.search(values[asked], 5, asked)
+    assert time.thread_time() - began < 1  # 17 million pairs, posting by posting: some 3 seconds
+    for q, (got, score) in list(zip(asked.tolist(), found, strict=True))[::64]:
+        exact = values @ values[q]
+        exact[q] = -(1 << 62)
+        best = np.lexsort((ids, -exact))[:5]
+        assert got.tolist() == best.tolist() and score.tolist() == exact[best].tolist()
+
+
+@pytest.mark.parametrize("offset", [0, 1 << 20, -(1 << 29)])
+def test_impact_index_far_from_zero(offset):
+    r = np.random.default_rng(5)
+    values = r.integers(-90, 90, (700, 3)) + offset
+    ids = np.r_[np.arange(300), [2] * 400]  # most rows are a query's own
+    for asked, skips in ((values[:7], np.arange(7)), (values[3:], ids[3:])):
+        for q, skip, (got, score) in zip(asked, skips.tolist(), topk.ImpactIndex(ids, values).search(asked, 5, skips), strict=True):
+            best = sorted((-int(s), int(i)) for i, s in zip(ids, values @ q, strict=True) if i != skip)[:5]
+            assert [(-int(s), int(i)) for i, s in zip(got, score, strict=True)] == best
+
+
 def test_top_k_of_huge_components_and_repeated_queries(spark):
     rows = [(0, [1e30, 1.0], 1), (1, [2.0, 1.0], 1), (50, [3e6, -3e6], 1), (2, [-1e7, 0.0], 1), (100, [1.0, 1.0], 1)]
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(vectors_of(spark, rows)).collect())
