@@ -25,6 +25,19 @@ _PART = 1 << 16
 _HOT = 1 << 15
 
 
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is set."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes: the bits that are set in over half of them; of none: zero."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _PART):
+        counts += _set_bits(hashes[i : i + _PART])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of word shingles.
 
@@ -47,7 +60,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     first, last = starts[:m].tolist(), ends[shingle - 1 :].tolist()
     for i in range(0, m, _PART):
         h = np.fromiter([digest(view[a:b], seed) for a, b in zip(first[i : i + _PART], last[i : i + _PART], strict=True)], np.uint64)
-        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        counts += _set_bits(h)
     return int(np.packbits(counts * 2 > m, bitorder="little").view("<u8")[0])
 
 

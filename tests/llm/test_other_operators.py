@@ -416,6 +416,27 @@ def test_pipeline_drops_near_copies(spark, sf_dir):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, sf_dir).collect()} == set(brute_components(texts).values())
 
 
+def test_pipeline_goes_through_simhash(spark, sf_dir, monkeypatch):
+    """Fingerprints of 5-word shingles reach operator 10's deletion variants; what these tie is compared even if the index ties nothing."""
+    found, tie = {}, shingles.fingerprint_components
+
+    def seen(nodes):
+        found["fps"] = {r.fp % 2**64 for r in nodes.collect()}
+        found["classes"] = tie(nodes)
+        return found["classes"]
+
+    monkeypatch.setattr(shingles, "fingerprint_components", seen)
+    monkeypatch.setattr(shingles, "_tie_batches", lambda least, most: lambda batches: iter(()))
+    long = [f"w{i * 7919 % 1009}" for i in range(900)]
+    texts = {1: " ".join(long), 2: " ".join([*long[:-1], "x"]), 3: " ".join(["y", *long[1:]]), 4: " ".join(f"v{i}" for i in range(300)), 5: None}
+    sets = {i: shingles.shingle_set(shingles._words(t)) for i, t in texts.items()}
+    prints = {i: sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s)) for i, s in sets.items()}
+    assert (prints[1] ^ prints[2]).bit_count() <= 3 and (prints[1] ^ prints[3]).bit_count() <= 3 and (prints[1] ^ prints[4]).bit_count() > 3
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars int")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, sf_dir).collect()} == {1, 4, 5}
+    assert found["fps"] == set(prints.values())
+
+
 def test_rest_stands_without_the_subpackage(tmp_path):
     code = f"import sys; sys.path.insert(0, {ROOT!r}); sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'flagship_filter' in q and 'pipeline' not in q and not any(k.startswith('op1_') for k in q)"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=60)
