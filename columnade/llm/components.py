@@ -14,6 +14,8 @@ from columnade.llm.common import batch, discard, map_batches, written
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 #: A task contracts so many links at a time.
 _HELD = 2_000_000
+#: A file of links holds about so many at least: a store makes, and a local one starts a process for, every file.
+_FILE = 1 << 17
 
 
 def contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +82,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = larger.groupBy("u").agg(F.min("v").alias("m"))
         hung = larger.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        last, now = now, written(map_batches(stars.repartition("v", F.pmod(F.xxhash64("u"), F.lit(1 + mark[0] // _HELD))), _contract_batches, "u long, v long").distinct(), "links")
+        last, now = now, written(map_batches(stars.repartition("v", F.pmod(F.xxhash64("u"), F.lit(1 + mark[0] // _HELD))), _contract_batches, "u long, v long").distinct().coalesce(1 + mark[0] // _FILE), "links")
         discard(last)
     roots = now.select(F.col("v").alias("node")).distinct()
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component_id")).unionByName(roots.select("node", F.col("node").alias("component_id")))

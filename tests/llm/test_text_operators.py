@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
-from columnade.llm import language, packing, pieces, quality, registry, simhash, substrings
+from columnade.llm import components, language, packing, pieces, quality, registry, simhash, substrings
 from columnade.llm.components import connected_components
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -164,6 +164,28 @@ def test_simhash_registered_query(spark, sf_dir):
     assert got == {i: (prints[i], part[i]) for i in prints}
 
 
+def test_few_links_are_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, rounds over few links write one file each."""
+    files, write = [], components.written
+
+    def seen(df, what):
+        made = write(df, what)
+        files.append(len(made.inputFiles()))
+        return made
+
+    monkeypatch.setattr(components, "written", seen)
+    for key, value in (("spark.sql.shuffle.partitions", "40"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(key, value)
+    try:
+        links = spark.range(300).selectExpr("id + 1 u", "id v")
+        got = {r.node: r.component_id for r in components.connected_components(links).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == dict.fromkeys(range(301), 0)
+    assert len(files) > 1 and set(files[1:]) == {1}
+
+
 def test_simhash_of_shared_ids(spark):
     """Different texts under one id link as the texts do, and do not link what their id alone has in common."""
     base = [f"{LONG[k * 9000 : k * 9000 + 6000]}" for k in range(3)]
